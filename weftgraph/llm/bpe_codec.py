@@ -3,7 +3,8 @@
 A merge only ever makes a vocabulary token.  Two neighbouring bytes that stand
 side by side inside no token can therefore never end in one symbol: between them
 lies a certain cut.  Pre-tokens are cut there, the fragments are encoded on
-their own, kept in a bounded table, and their ids are concatenated.
+their own, many at a time, and their ids are concatenated; a bounded table keeps
+the codes of words.
 
 Text between white space is the unit that is normalised (NFC, lower case) and
 pre-tokenised, since none of these steps looks across white space.
@@ -18,23 +19,22 @@ of the same name.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import bounded_batches, documents
-from .token_counts import byte_symbols
+from .token_counts import ArrayMerger, byte_symbols, merge_pairs
 
-MEMO = 1 << 18  # words, and fragments, that a worker keeps
-LONG = 48  # symbols from which a fragment is merged with a heap
+MEMO = 1 << 18  # words whose codes a worker keeps
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -46,20 +46,18 @@ class Codec:
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(pairs):
-            self.merge[vocab[a], vocab[b]] = rank, vocab[a.removesuffix(self.end) + b if self.end else a + b]
+        self.merger = ArrayMerger([(vocab[a], vocab[b], vocab[a + b]) for a, b in merge_pairs(spec)], max(vocab.values()) + 1)
         self.token = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.number = {i: str(i) for i in self.token}
         symbols = byte_symbols()
-        self.inner = [vocab[symbols[b]] for b in range(256)]
-        self.last = [vocab[symbols[b] + self.end] for b in range(256)]
+        self.inner = np.array([vocab[symbols[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[symbols[b] + self.end] for b in range(256)], np.int64)
         byte_of = {c: b for b, c in symbols.items()}
         inside = {p for t in vocab for p in pairwise(t.removesuffix(self.end))}
-        #: joined[a * 256 + b]: some token holds byte b right after byte a
-        self.joined = bytearray(65536)
+        #: joined[a, b]: some token holds byte b right after byte a
+        self.joined = np.zeros((256, 256), bool)
         for a, b in inside:
-            self.joined[byte_of[a] * 256 + byte_of[b]] = 1
+            self.joined[byte_of[a], byte_of[b]] = True
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.pieces = regex.compile(PATTERN).findall
@@ -67,77 +65,39 @@ class Codec:
         self.odd = regex.compile("[\x1c-\x1f]").search  # white space to str.split, not to the vocabulary
         self.ids: dict[str, str] = {}  # word -> its ids, joined by a space
         self.text: dict[str, str] = {}  # word -> its tokens, joined by a space
-        self.fragment: dict[tuple[bytes, bool], tuple[int, ...]] = {}
-
-    # -- fragments
-
-    def fragments(self, piece: bytes) -> list[bytes]:
-        joined, cuts = self.joined, [0]
-        cuts += [k for k in range(1, len(piece)) if not joined[piece[k - 1] << 8 | piece[k]]]
-        return [piece[a:b] for a, b in pairwise([*cuts, len(piece)])]
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        parts, out = self.fragments(piece), []
-        for k, part in enumerate(parts):
-            key = part, k == len(parts) - 1
-            if (ids := self.fragment.get(key)) is None:
-                ids = self.fragment[key] = tuple(self.merged(*key))
-            out += ids
-        return out
 
-    def merged(self, part: bytes, final: bool) -> list[int]:
-        symbols = [self.inner[b] for b in part]
-        if final:
-            symbols[-1] = self.last[part[-1]]
-        if len(symbols) >= LONG:
-            return self._merged_long(symbols)
-        merge = self.merge
-        while len(symbols) > 1:
-            found = [merge[p] + (k,) for k, p in enumerate(pairwise(symbols)) if p in merge]
-            if not found:
-                break
-            _, made, k = min(found, key=lambda x: (x[0], x[2]))
-            symbols[k : k + 2] = [made]
-        return symbols
-
-    def _merged_long(self, symbols: list[int]) -> list[int]:
-        """The same order of merges from a heap of (rank, place), over a linked list."""
-        n, merge = len(symbols), self.merge
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(merge[p][0], k, p) for k, p in enumerate(pairwise(symbols)) if p in merge]
-        heapq.heapify(heap)
-        while heap:
-            _, k, pair = heapq.heappop(heap)
-            j = after[k]
-            if j >= n or (symbols[k], symbols[j]) != pair:
-                continue  # one of the two has gone into another symbol
-            symbols[k], symbols[j] = merge[pair][1], -1
-            after[k] = after[j]
-            if after[j] < n:
-                before[after[j]] = k
-            for left, right in ((before[k], k), (k, after[k])):
-                if left >= 0 and right < n and (p := (symbols[left], symbols[right])) in merge:
-                    heapq.heappush(heap, (merge[p][0], left, p))
-        return [s for s in symbols if s >= 0]
-
-    # -- texts
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens, one after the other, and where each pre-token's begin and end."""
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        end = np.cumsum(length)
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        symbol = self.inner[raw]
+        symbol[end - 1] = self.last[raw[end - 1]]
+        cut = np.ones(len(raw) + 1, bool)
+        cut[1:-1] = ~self.joined[raw[:-1], raw[1:]]  # certain cuts
+        cut[end] = True
+        left = self.merger.settle(symbol, np.diff(np.flatnonzero(cut)))
+        return left[left >= 0], np.r_[0, np.cumsum(left >= 0)[end - 1]]
 
     def learn(self, new: list[str]) -> None:
         """Put the codes of words not met before into the table."""
-        whole = unicodedata.normalize("NFC", " ".join(new)).replace("Σ", "σ").lower()
-        if len(self.fragment) > MEMO:
-            self.fragment.clear()
-        pieces, k, at = self.pieces(whole), 0, 0
-        for word, plain in zip(new, whole.split(" "), strict=True):
-            ids, end = [], at + len(plain)
-            while at < end:
-                ids += self.encode_piece(pieces[k].encode())
-                at, k = at + len(pieces[k]), k + 1
-            at += 1
-            self.ids[word] = " ".join(map(str, ids))
-            self.text[word] = " ".join([self.token[i] for i in ids])
+        whole = " ".join(new)
+        pieces = self.pieces(whole)
+        ids, bound = self.encode([x.encode() for x in pieces])
+        end = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        stop = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        bound = bound[np.r_[0, np.searchsorted(end, stop, "left") + 1]].tolist()
+        number, token = self.number, self.token
+        listed = ids.tolist()
+        for word, (a, b) in zip(new, pairwise(bound), strict=True):
+            own = listed[a:b]
+            self.ids[word] = " ".join([number[i] for i in own])
+            self.text[word] = " ".join([token[i] for i in own])
 
     def words(self, text: str) -> list[str]:
+        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        text = text.replace("Σ", "σ").lower()
         return [w for w in self.space(text) if w] if self.odd(text) else text.split()
 
     def code(self, texts: list[str]) -> list[tuple[int, str, str]]:
@@ -148,9 +108,14 @@ class Codec:
             self.text.clear()
         for content, i in self.special.items():
             self.ids["\x1c" + content], self.text["\x1c" + content] = str(i), content
-        new = list(set().union(*cut).difference(self.ids))
-        for k in range(0, len(new), 4096):
-            self.learn(new[k : k + 4096])
+        new = set().union(*cut).difference(self.ids)
+        closed = [w for w in new if w[-1] in ",." and w[-2:-1].isalpha()]  # a word and a point are two pre-tokens
+        bare = list(new.difference(closed).union([w[:-1] for w in closed], ",.").difference(self.ids))
+        for k in range(0, len(bare), 65536):
+            self.learn(bare[k : k + 65536])
+        for w in closed:
+            self.ids[w] = f"{self.ids[w[:-1]]} {self.ids[w[-1]]}"
+            self.text[w] = f"{self.text[w[:-1]]} {self.text[w[-1]]}"
         ids, decoded, out = self.ids.__getitem__, self.text.__getitem__, []
         for words in cut:
             joined = " ".join(map(ids, words))

@@ -48,14 +48,12 @@ def byte_symbols() -> dict[int, str]:
 class ArrayMerger:
     """Merge rules as arrays: pairs' packed ids to ranks, ranks to what they make."""
 
-    def __init__(self, vocab: dict[str, int], merges: list):
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
-        self.size = max(vocab.values()) + 1
-        packed = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
-        made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.levels, self.made = self._table(packed), made
-        self.all_places = len(set(made.tolist())) == len(pairs)
-        self.byte_id = np.array([vocab[c] for _, c in sorted(byte_symbols().items())], np.int64)
+    def __init__(self, merges: list[tuple[int, int, int]], size: int):
+        """``merges``: (left id, right id, made id) in rank order; ids are below ``size``."""
+        left, right, made = np.array(merges, np.int64).T
+        self.size, self.made = size, made
+        self.levels = self._table(left * size + right)
+        self.all_places = len(np.unique(made)) == len(made)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, NONE without one: probes of a table whose collisions went to further levels."""
@@ -90,34 +88,24 @@ class ArrayMerger:
             left = left[rest]
         return levels
 
-    def counts(self, words: list[bytes]) -> np.ndarray:
-        """Symbols left of each word."""
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        out, end, k = np.zeros(len(words), np.int64), np.cumsum(length), 0
-        while k < len(words):
-            last = max(k + 1, int(np.searchsorted(end, (end[k - 1] if k else 0) + STEP_SYMBOLS, "right")))
-            out[k:last] = self._merge(b"".join(words[k:last]), length[k:last])
-            k = last
-        return out
-
-    def _merge(self, text: bytes, length: np.ndarray) -> np.ndarray:
-        done = length.copy()
-        owner = np.repeat(np.arange(len(length)), length)
-        symbol = self.byte_id[np.frombuffer(text, np.uint8)]
+    def settle(self, symbol: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Merge ragged sequences of the given lengths; the symbols left stand at their first place, -1 elsewhere."""
+        final = np.full(len(symbol), -1, np.int64)
+        owner, place = np.repeat(np.arange(len(length)), length), np.arange(len(symbol))
         rank = self._pair_ranks(symbol, owner)
         while len(symbol):
             start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             size = np.diff(np.r_[start, len(symbol)])
             best = np.minimum.reduceat(rank, start)
-            done[owner[start]] = size
             live = best < NONE
-            if not live.any():
-                break
             if not live.all():  # sequences without a pair leave
                 keep = np.repeat(live, size)
-                symbol, owner, rank = symbol[keep], owner[keep], rank[keep]
+                final[place[~keep]] = symbol[~keep]
+                symbol, owner, rank, place = symbol[keep], owner[keep], rank[keep], place[keep]
                 best, size = best[live], size[live]
             hit = np.flatnonzero(rank == np.repeat(best, size))
+            if not len(hit):
+                break
             if self.all_places:
                 hit = self._apart(hit)
             else:
@@ -127,10 +115,10 @@ class ArrayMerger:
             keep[hit + 1] = False
             changed = np.zeros(len(symbol), bool)
             changed[hit] = True
-            symbol, owner, rank, changed = symbol[keep], owner[keep], rank[keep], changed[keep]
+            symbol, owner, rank, place, changed = symbol[keep], owner[keep], rank[keep], place[keep], changed[keep]
             near = np.flatnonzero(changed | np.r_[changed[1:], False])  # pairs that have a new symbol
             rank[near] = self._pair_ranks(symbol, owner, near)
-        return done
+        return final
 
     @staticmethod
     def _apart(hit: np.ndarray) -> np.ndarray:
@@ -149,12 +137,18 @@ class ArrayMerger:
         return out
 
 
+def merge_pairs(spec: dict) -> list[tuple[str, str]]:
+    return [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+
+
 class Counter:
     def __init__(self, path: str):
         import regex
 
         spec = json.load(open(path, encoding="utf-8"))
-        self.merger = ArrayMerger(spec["model"]["vocab"], spec["model"]["merges"])
+        vocab = spec["model"]["vocab"]
+        self.merger = ArrayMerger([(vocab[a], vocab[b], vocab[a + b]) for a, b in merge_pairs(spec)], max(vocab.values()) + 1)
+        self.byte_id = np.array([vocab[c] for _, c in sorted(byte_symbols().items())], np.int64)
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.cut = regex.compile(PATTERN).findall
@@ -168,10 +162,22 @@ class Counter:
         parts = self.special.split(text)
         return [w for p in parts for w in self.cut(p)], len(parts) - 1
 
+    def counts(self, words: list[bytes]) -> np.ndarray:
+        """Symbols left of each word."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        out, end, k = np.zeros(len(words), np.int64), np.cumsum(length), 0
+        while k < len(words):
+            last = max(k + 1, int(np.searchsorted(end, (end[k - 1] if k else 0) + STEP_SYMBOLS, "right")))
+            size = length[k:last]
+            left = self.merger.settle(self.byte_id[np.frombuffer(b"".join(words[k:last]), np.uint8)], size) >= 0
+            out[k:last] = np.add.reduceat(left, np.cumsum(size) - size)
+            k = last
+        return out
+
     def _new(self, words: list[str]) -> None:
         """Put the counts of pre-tokens not met before into the memo."""
         new = list(dict.fromkeys(w for w in words if w not in self.memo))
-        self.memo.update(zip(new, self.merger.counts([w.encode() for w in new]).tolist(), strict=True))
+        self.memo.update(zip(new, self.counts([w.encode() for w in new]).tolist(), strict=True))
 
     def _of(self, cuts: list[list[str]]) -> list[int]:
         if len(self.memo) > MEMO:
@@ -214,7 +220,7 @@ class Counter:
             end = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
             begin = np.cumsum(np.fromiter(map(len, even), np.int64, len(even)) + 1)
             first = np.searchsorted(end, np.r_[0, begin[:-1]], "right")
-            tokens = np.add.reduceat(self.merger.counts([x.encode() for x in pieces]), first)
+            tokens = np.add.reduceat(self.counts([x.encode() for x in pieces]), first)
             self.spaced.update(zip(even, tokens.tolist(), strict=True))
 
 
