@@ -1,11 +1,60 @@
-"""Training-data pipeline: quality rules, exact dedup, near dedup, mixing, encoding."""
+"""Training-data pipeline over ``documents``: rules, exact dedup, near dedup, mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept
+and returns a DataFrame; all but the last return the columns of ``documents``.
+The stages see whole texts and carry whole rows.  No stage is SQL as a whole
+(compression, fingerprint components, BPE), so that ORACLE_SQL is None; the
+tests hold each stage against a brute-force version.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.llm import bpe_codec, exact_dedup, mixing, quality_rules, simhash
+from weftgraph.llm._common import documents, materialize
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(docs).filter("kept").select(*_columns(docs))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(docs).filter("kept").select(*_columns(docs))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.emit(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_codec.bpe_codes(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"], texts=False)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("exact dedup", exact),
+    ("SimHash near-dedup", near),
+    ("mixing to target weights", mix),
+    ("BPE encoding and decoding", encode),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written to the shared folder and read again."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

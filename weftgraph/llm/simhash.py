@@ -101,8 +101,8 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return near.join(least, "at").filter("fp <> b").select(fp.alias("a"), "b").distinct()
 
 
-def near_components(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, carry: list[str] | None = None) -> DataFrame:
-    """``docs`` (doc_id, text, ...) plus fingerprint (16 hex digits) and component_id.
+def _rooted(docs: DataFrame, width: int, radius: int, carry: list[str] | None) -> DataFrame:
+    """``docs`` plus _fp, _root (the component's least fingerprint) and component_id.
 
     The fingerprints are computed once, over whole texts, and written with the
     carried columns to the shared folder.
@@ -110,11 +110,25 @@ def near_components(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     rows = materialize(with_fingerprint(docs, width, carry), "op1-fingerprints")
     classes = materialize(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("least")), "op1-classes")
     linked = components(links(classes, radius))
-    rooted = classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = rooted.join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
-    made = rows.drop("component_id").join(label, "_fp", "left")
-    return made.withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp")
+    rooted = classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("_root"))
+    named = rooted.groupBy("_root").agg(F.min("least").alias("component_id"))
+    label = rooted.join(named, "_root").select(F.col("fp").alias("_fp"), "_root", "component_id")
+    return rows.drop("component_id", "_root").join(label, "_fp", "left")
+
+
+def near_components(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (doc_id, text, ...) plus fingerprint (16 hex digits) and component_id."""
+    made = _rooted(docs, width, radius, carry)
+    return made.withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp", "_root")
+
+
+def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The columns of ``docs``, of each component the row with the least doc_id (of rows that repeat it, one)."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    least = _rooted(docs, width, radius, None).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if least.groupBy("_root").count().filter("count > 1").isEmpty():
+        return least.select(*columns)
+    return least.dropDuplicates(["_root"]).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
