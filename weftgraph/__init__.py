@@ -1,0 +1 @@
+"""Code-knowledge-graph analytics on Spark DataFrames."""
