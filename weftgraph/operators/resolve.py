@@ -64,45 +64,47 @@ def intent_scores(kws: Column, found: Column) -> Column:
     return F.array_sort(F.filter(F.array(*rows), lambda r: r["score"] < 0))
 
 
-def synonyms(toggles: dict[str, bool]) -> dict[str, tuple[str, ...]]:
-    table = dict(vocab.SYNONYMS)
-
-    def more(key: str, *extra: str) -> None:
-        table[key] = tuple(dict.fromkeys((*table.get(key, ()), *extra)))
-
-    if toggles["generate_build"]:
-        more("generate", "build")
-        more("generat", "build")
-    if toggles["resolution_resolve"]:
-        more("resolution", "resolve")
-        more("resolu", "resolve")
-    if toggles["retrieval_synonyms"]:
-        more("retrieval", "retriever", "retrieve")
-        more("retriever", "retrieval", "retrieve")
-    if toggles["symbol_candidate"]:
-        more("symbol", "candidate")
-        more("symbols", "candidate")
-    return table
-
-
-def expanded(kws: Column, toggles: dict[str, bool] | None = None) -> Column:
+#: Synonyms behind a switch: switch: (keywords, more synonyms)
+SWITCHED = {
+    "generate_build": (("generate", "generat"), ("build",)), "resolution_resolve": (("resolution", "resolu"), ("resolve",)),
+    "retrieval_synonyms": (("retrieval", "retriever"), ("retriever", "retrieval", "retrieve")), "symbol_candidate": (("symbol", "symbols"), ("candidate",)),
+}
+
+
+def on(switch: str) -> Column:
+    return F.col(f"on_{switch}")
+
+
+def expanded(kws: Column) -> Column:
     """The keywords, then the synonyms of each and of its stem."""
-    table = F.create_map(*[x for k, v in synonyms(toggles or TOGGLES).items() for x in (F.lit(k), words(*v))])
-    of = lambda w: F.concat(F.coalesce(F.get(F.array(table[w]), F.lit(0)), words()), F.coalesce(F.get(F.array(table[F.coalesce(stem(w), F.lit(""))]), F.lit(0)), words()))
-    return F.array_distinct(F.concat(kws, _keep(F.flatten(F.transform(kws, of)))))
+    table = F.create_map(*[x for k, v in vocab.SYNONYMS.items() for x in (F.lit(k), words(*v))])
+
+    def of(w: Column) -> Column:
+        more = [F.when(on(s) & w.isin(*keys), F.array_remove(words(*ws), w)).otherwise(words()) for s, (keys, ws) in SWITCHED.items()]
+        return F.concat(F.coalesce(table[w], words()), *more)
+
+    with_stem = lambda w: F.concat(of(w), of(F.coalesce(stem(w), F.lit(""))))
+    return F.array_distinct(F.concat(kws, _keep(F.flatten(F.transform(kws, with_stem)))))
+
+
+def switched(questions: DataFrame, toggles: dict[str, bool] | None = None) -> DataFrame:
+    """``questions`` plus a column for each switch, unless they have them."""
+    t = toggles or TOGGLES
+    return questions.withColumns({f"on_{k}": F.lit(v) for k, v in t.items() if f"on_{k}" not in questions.columns})
 
 
 def understood(questions: DataFrame, toggles: dict[str, bool] | None = None) -> DataFrame:
-    """``questions`` plus keywords, phrases, intents (an array, best first), and expanded keywords."""
+    """``questions`` plus switches, keywords, phrases, intents (an array, best first), and expanded keywords."""
+    questions = switched(questions, toggles)
     out = questions.withColumn("keywords", keywords(F.col("question"))).withColumn("phrases", phrases(F.col("question")))
     found = F.transform(intent_scores(F.col("keywords"), F.col("phrases")), lambda r: r["intent"])
     out = out.withColumn("intents", F.when(F.size(found) > 0, found).otherwise(words("unknown")))
     asks = F.arrays_overlap("intents", words(*vocab.IMPLEMENTATION_INTENTS))
-    return out.withColumn("implementation", asks).withColumn("expanded", expanded(F.col("keywords"), toggles))
+    return out.withColumn("implementation", asks).withColumn("expanded", expanded(F.col("keywords")))
 
 
-def data_holders(nodes: DataFrame, edges: DataFrame, spread: bool = False) -> DataFrame:
-    """(id, is_data): code nodes that look like plain data; with ``spread`` also their methods."""
+def data_holders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, is_data, of_data): code nodes that look like plain data, and methods of such classes."""
     last = F.lower(F.element_at(F.split("name", r"\."), -1))
     fragment = reduce(Column.__or__, [last.contains(f) for f in vocab.DATA_DECORATORS])
     rel, out = F.col("relationship"), F.col("out") == 1
@@ -119,11 +121,9 @@ def data_holders(nodes: DataFrame, edges: DataFrame, spread: bool = False) -> Da
     exempt = reduce(Column.__or__, [bare.contains(f) | F.lower("label").contains(f) for f in vocab.GRAPH_LABELS])
     is_class = F.col("type") == "Class"
     looks = (is_class & F.col("label").rlike(f"(?i){vocab.DATA_NAME}")) | (F.coalesce("decorated", F.lit(0)) == 1) | (F.coalesce("derived", F.lit(0)) == 1) | (is_class & (F.coalesce("active", F.lit(0)) == 0))
-    out_ = nodes.select("id", "type", "label").join(marks, "id", "left").select("id", "type", (F.col("type").isin(*CODE_TYPES) & ~exempt & looks).alias("is_data"))
-    if spread:
-        methods = edges.filter("relationship = 'contains'").join(out_.filter("is_data").select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct()
-        out_ = out_.join(methods.withColumn("of_data", F.lit(True)), "id", "left").select("id", "type", (F.col("is_data") | (F.coalesce("of_data", F.lit(False)) & (F.col("type") == "Method"))).alias("is_data"))
-    return out_.select("id", "is_data")
+    own = nodes.select("id", "type", "label").join(marks, "id", "left").select("id", "type", (F.col("type").isin(*CODE_TYPES) & ~exempt & looks).alias("is_data"))
+    inside = edges.filter("relationship = 'contains'").join(own.filter("is_data").select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct()
+    return own.join(inside.withColumn("inside", F.lit(True)), "id", "left").select("id", "is_data", (F.coalesce("inside", F.lit(False)) & (F.col("type") == "Method")).alias("of_data"))
 
 
 def _hit(kw: Column) -> Column:
@@ -133,11 +133,10 @@ def _hit(kw: Column) -> Column:
     return F.when(label == kw, 10).when(id_ == kw, 8).otherwise(partial)
 
 
-def signals(nodes: DataFrame, edges: DataFrame, asked: DataFrame, toggles: dict[str, bool] | None = None) -> DataFrame:
-    """One row a candidate (question_id, id, type) with a column for each signal's points."""
-    t = toggles or TOGGLES
+def signals(nodes: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row a candidate (question_id, id, type) with a column for each signal's points; ``asked`` comes from understood()."""
     facts = (
-        nodes.select("id", "type", "label").join(degrees(edges).select("id", "degree"), "id", "left").join(data_holders(nodes, edges, t["dto_fixes"]), "id", "left")
+        nodes.select("id", "type", "label").join(degrees(edges).select("id", "degree"), "id", "left").join(data_holders(nodes, edges), "id", "left")
         .withColumn("label_low", F.lower("label")).withColumn("id_low", F.lower("id")).withColumn("snake", snake_words("label"))
         .withColumn("parts", F.array_distinct(F.concat("snake", camel_words("label"), F.array("label_low"))))
     )
@@ -150,8 +149,8 @@ def signals(nodes: DataFrame, edges: DataFrame, asked: DataFrame, toggles: dict[
     code, known = kind.isin(*CODE_TYPES), primary != "unknown"
     verbs = []
     for intent, vs in vocab.INTENT_VERBS.items():
-        vs = tuple(v for v in vs if not (t["verb_lexicon_cleanup"] and intent == "authentication" and v == "session"))
-        verbs.append(F.when(F.array_contains(intents, intent), words(*vs)).otherwise(words()))
+        own = F.when(on("verb_lexicon_cleanup"), F.array_remove(words(*vs), "session")).otherwise(words(*vs)) if intent == "authentication" else words(*vs)
+        verbs.append(F.when(F.array_contains(intents, intent), own).otherwise(words()))
     rows = rows.withColumn("verbs", F.array_distinct(F.concat(*verbs))).withColumn("subject", F.array_except("base_hits", "verbs"))
     label = F.col("label")
     dunder = label.startswith("__") & label.endswith("__")
@@ -165,22 +164,23 @@ def signals(nodes: DataFrame, edges: DataFrame, asked: DataFrame, toggles: dict[
     made = {
         "keyword": F.aggregate("hits", F.lit(0), lambda a, h: a + h["p"]),
         "code_node": F.when(code, 3),
-        "file_penalty": F.when(files & ~F.arrays_overlap("keywords", words(*vocab.FILE_WORDS)) & has(vocab.NOT_FILE_INTENTS), -12) if t["file_module_penalty"] else F.when(files & F.col("implementation"), -8),
-        "drawing_penalty": F.when((primary != "visualization") & F.arrays_overlap("parts", words(*vocab.DRAWING_WORDS)), -4) if t["visualization_penalty"] else F.lit(0),
-        "dunder_penalty": F.when(dunder, -15) if t["dunder_penalties"] else F.lit(0),
-        "private_penalty": F.coalesce(private, F.when(F.col("id").contains(".") & inner, -4)) if t["private_penalties"] else F.lit(0),
+        "file_penalty": F.when(on("file_module_penalty"), F.when(files & ~F.arrays_overlap("keywords", words(*vocab.FILE_WORDS)) & has(vocab.NOT_FILE_INTENTS), -12)).when(files & F.col("implementation"), -8),
+        "drawing_penalty": F.when(on("visualization_penalty") & (primary != "visualization") & F.arrays_overlap("parts", words(*vocab.DRAWING_WORDS)), -4),
+        "dunder_penalty": F.when(on("dunder_penalties") & dunder, -15),
+        "private_penalty": F.when(on("private_penalties"), F.coalesce(private, F.when(F.col("id").contains(".") & inner, -4))),
         "intent_type": F.when(known & code, 6),
         "callable": F.when(kind.isin("Method", "Function") & has((*vocab.IMPLEMENTATION_INTENTS, "statistics", "aggregation")), 5),
         "verb_label": F.when(code & (F.size("subject") > 0) & F.arrays_overlap("parts", "verbs"), 4),
         "phrase": reduce(Column.__add__, forms),
         "hotspot": F.least(F.coalesce("degree", F.lit(0)), F.lit(5)),
-        "data_penalty": F.when(F.col("implementation") & F.col("is_data"), -15),
+        "data_penalty": F.when(F.col("implementation") & (F.col("is_data") | on("dto_fixes") & F.col("of_data")), -15),
         "multi_keyword": F.when(F.size("base_hits") >= 2, 5),
         "subject_priority": F.when(known & (F.size("subject") > 0), 4),
         "coverage": F.when((F.size(parts) > 0) & (covered / F.size(parts) >= 0.67), 3),
         "generic_penalty": F.when(F.size("base_hits") == 0, -4),
     }
-    return rows.select("question_id", "id", "type", *[F.coalesce(c.cast("long"), F.lit(0)).cast("long").alias(n) for n, c in made.items()], "hits", "base_hits")
+    config = ["config"] if "config" in asked.columns else []
+    return rows.select(*config, "question_id", "id", "type", *[F.coalesce(c.cast("long"), F.lit(0)).cast("long").alias(n) for n, c in made.items()], "hits", "base_hits")
 
 
 SIGNALS = (
@@ -196,11 +196,12 @@ def rank(nodes: DataFrame, edges: DataFrame, questions: DataFrame, k: int = 10,
     """
     if questions.limit(MOST_QUESTIONS + 1).count() > MOST_QUESTIONS:
         raise ValueError(f"more than {MOST_QUESTIONS} questions: rank them in batches")
-    scored = signals(nodes, edges, understood(questions, toggles), toggles)
+    scored = signals(nodes, edges, understood(questions, toggles))
     score = reduce(Column.__add__, [F.col(s) for s in SIGNALS]).cast("double")
     told = F.array_join(F.filter(F.array(*[F.when(F.col(s) != 0, F.format_string(f"{s} %+d", F.col(s))) for s in SIGNALS]), lambda x: x.isNotNull()), "; ")
-    best = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), "id"))
-    ranked = scored.select("question_id", "id", "type", score.alias("score"), told.alias("reason")).withColumn("rank", best)
+    keys = [c for c in ("config", "question_id") if c in scored.columns]
+    best = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "id"))
+    ranked = scored.select(*keys, "id", "type", score.alias("score"), told.alias("reason")).withColumn("rank", best)
     return ranked.filter(F.col("rank") <= k)
 
 
@@ -210,7 +211,8 @@ def diagnostics(reason: Column) -> Column:
 
 
 def ablation(nodes: DataFrame, edges: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
-    """Ranks under the defaults, under each switch alone and with all on: config, then the columns of rank()."""
+    """Ranks with all switches off, each alone on, and all on: config, then the columns of rank(). One pass over the nodes."""
     off = dict.fromkeys(TOGGLES, False)
     configs = {"baseline": off} | {name: off | {name: True} for name in TOGGLES} | {"all": dict.fromkeys(TOGGLES, True)}
-    return reduce(DataFrame.unionByName, [rank(nodes, edges, questions, k, t).withColumn("config", F.lit(c)) for c, t in configs.items()])
+    table = F.array(*[F.struct(F.lit(c).alias("config"), *[F.lit(v).alias(f"on_{n}") for n, v in t.items()]) for c, t in configs.items()])
+    return rank(nodes, edges, questions.withColumn("c", F.explode(table)).select(*questions.columns, "c.*"), k)

@@ -330,7 +330,9 @@ def _(spark, d):
     return q.select("question_id", F.posexplode(found).alias("rank", "s")).select("question_id", (F.col("rank") + 1).cast("long").alias("rank"), "s.intent", (-F.col("s.score")).cast("long").alias("score"))
 
 
-_SYN = values((k, j, w) for k, ws in resolve.synonyms(resolve.TOGGLES).items() for j, w in enumerate(ws))
+_SYN = values(
+    [(k, j, w) for k, ws in vocab.SYNONYMS.items() for j, w in enumerate(ws)] + [(k, 99, w) for s, (ks, ws) in resolve.SWITCHED.items() if resolve.TOGGLES[s] for k in ks for w in ws if w != k]
+)
 _EXPANDED = f"""{_KW}, syn(k, j, w) AS (VALUES {_SYN}),
 more AS (SELECT question_id, syn.w FROM kw JOIN syn ON syn.k = kw.w UNION SELECT question_id, syn.w FROM kw JOIN syn ON syn.k = {_stem_sql('kw.w')}),
 expanded AS (SELECT question_id, w, true AS base FROM kw UNION ALL SELECT question_id, w, false FROM more WHERE length(w) >= 2 AND w NOT IN ({_STOPS}) AND (question_id, w) NOT IN (SELECT (question_id, w) FROM kw))"""
@@ -364,7 +366,7 @@ data AS (SELECT nodes.id, type IN ('Class', 'Function', 'Method') AND NOT ({' OR
 
 @query("data_flags", f"{G}, {_DATA} SELECT id, is_data FROM data")
 def _(spark, d):
-    return resolve.data_holders(*adapter.graph(spark, d, keep=True))
+    return resolve.data_holders(*adapter.graph(spark, d, keep=True)).select("id", "is_data")
 
 
 _VALUES = f"verbs(intent, v) AS (VALUES {values((i, v) for i, vs in vocab.INTENT_VERBS.items() for v in vs if (i, v) != ('authentication', 'session'))}), forms(k, f) AS (VALUES {values((k, f.strip()) for k, (_, _, fs) in enumerate(vocab.PHRASES) for f in fs.split(','))})"
