@@ -100,18 +100,22 @@ class SuffixArray:
         return same[self.rank[at]] | np.r_[same[1:], False][self.rank[at]]
 
     def found_in(self, other: SuffixArray, width: int) -> np.ndarray:
-        """For each of ``starts(width)``: do its symbols begin anywhere in the other? By binary search in its array."""
+        """For each of ``starts(width)``: do its symbols begin anywhere in the other? By binary search in its array.
+
+        What the window shares with the places just outside the bounds it shares
+        with all between, so that each comparison begins there.
+        """
         at = self.starts(width)
         low, high = np.zeros(len(at), np.int64), np.full(len(at), other.n)
-        while len(live := np.flatnonzero(low < high)):
+        below, above = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        live = np.arange(len(at)) if other.n else np.zeros(0, np.int64)
+        while len(live):
             middle = (low[live] + high[live]) // 2
             there = other.array[middle]
-            same = self.extended(at[live], other, there, np.zeros(len(live), np.int64), width)
+            same = self.extended(at[live], other, there, np.minimum(below[live], above[live]), width)
             x, y = np.minimum(at[live] + same, self.n - 1), np.minimum(there + same, other.n - 1)
-            less = (same < width) & ((other.key[y] >> 54) < (self.key[x] >> 54)) | (there + same >= other.n) & (same < width)
-            low[live[less]] = middle[less] + 1
-            high[live[~less]] = middle[~less]
-        out = np.zeros(len(at), bool)
-        inside = np.flatnonzero(low < other.n)
-        out[inside] = self.extended(at[inside], other, other.array[low[inside]], np.zeros(len(inside), np.int64), width) >= width
-        return out
+            less = (same < width) & ((there + same >= other.n) | ((other.key[y] >> 54) < (self.key[x] >> 54)))
+            low[live[less]], below[live[less]] = middle[less] + 1, same[less]
+            high[live[~less]], above[live[~less]] = middle[~less], same[~less]
+            live = live[(low[live] < high[live]) & (above[live] < width)]  # a whole match ends the search
+        return above >= width

@@ -174,8 +174,8 @@ class Shard:
     def settle(self) -> None:
         self.bits = [np.full(len(s) - self.width + 1, t) for s, t in zip(self.string, self.twice, strict=True)]
 
-    def batches(self):
-        """Whole anchors, up to BATCH bytes; without those whose only stretch is known to repeat."""
+    def batches(self, all_: bool):
+        """Whole anchors, up to BATCH bytes; unless ``all_``, without those whose only stretch is known to repeat."""
         if not self.string:
             return
         anchor = np.array(self.anchor, np.uint64)
@@ -184,7 +184,7 @@ class Shard:
         batch, size = [], 0
         for a, b in zip(first, np.r_[first[1:], len(order)], strict=True):
             own = order[a:b].tolist()
-            if len(own) == 1 and self.twice[own[0]]:
+            if not all_ and len(own) == 1 and self.twice[own[0]]:
                 continue
             more = sum(len(self.string[k]) for k in own)
             if batch and size + more > BATCH:
@@ -252,14 +252,14 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         one.settle()
         two.settle()
         if two.string:  # a pair of sub-shards
-            for batch in one.batches():
+            for batch in one.batches(True):
                 a = SuffixArray([one.string[k] for k in batch])
-                for other in two.batches():
+                for other in two.batches(True):
                     b = SuffixArray([two.string[k] for k in other])
                     one.mark(batch, a.found_in(b, width))
                     two.mark(other, b.found_in(a, width))
         else:
-            for batch in one.batches():
+            for batch in one.batches(False):
                 one.mark(batch, SuffixArray([one.string[k] for k in batch]).repeated(width))
         for chunk, kind, own in asked:
             yield chunk, kind, packed_bits(np.concatenate([sides[kind].bits[k] for k in own]))
