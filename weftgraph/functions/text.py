@@ -109,7 +109,8 @@ def uuid5(text: Column) -> Column:
 
 def judge_score(value: Column) -> Column:
     """A score as an integer from 1 to 5, rounded half to even; 1 where there is none."""
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(5), F.bround(value.try_cast("double"), 0).cast("int"))), F.lit(1))
+    number = F.bround(F.greatest(F.lit(-9.0), F.least(F.lit(9.0), value.try_cast("double"))), 0).cast("int")
+    return F.when(value.try_cast("double").isNull(), 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(5), number)))
 
 
 def json_object(text: Column | str) -> Column:
