@@ -27,6 +27,7 @@ class SuffixArray:
         for k in range(STEP):
             key = key << np.uint64(9) | text[k : k + self.n]
         self.key = key.view(np.int64)
+        self.symbol = text.astype(np.int16)[: self.n]
         self.array, self.rank = self._sorted()
 
     def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +59,7 @@ class SuffixArray:
         """Common prefixes, up to about ``cap``, of places a here and b there that have ``have`` symbols in common."""
         out = have.copy()
         live = np.arange(len(a))
-        for step, mine, theirs in ((STEP, self.key, other.key), (1, self.key >> 54, other.key >> 54)):
+        for step, mine, theirs in ((STEP, self.key, other.key), (1, self.symbol, other.symbol)):
             todo = live
             while len(todo):
                 x, y = a[todo] + out[todo], b[todo] + out[todo]
@@ -114,7 +115,7 @@ class SuffixArray:
             there = other.array[middle]
             same = self.extended(at[live], other, there, np.minimum(below[live], above[live]), width)
             x, y = np.minimum(at[live] + same, self.n - 1), np.minimum(there + same, other.n - 1)
-            less = (same < width) & ((there + same >= other.n) | ((other.key[y] >> 54) < (self.key[x] >> 54)))
+            less = (same < width) & ((there + same >= other.n) | (other.symbol[y] < self.symbol[x]))
             low[live[less]], below[live[less]] = middle[less] + 1, same[less]
             high[live[~less]], above[live[~less]] = middle[~less], same[~less]
             live = live[(low[live] < high[live]) & (above[live] < width)]  # a whole match ends the search
