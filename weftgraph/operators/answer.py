@@ -75,21 +75,15 @@ def node_blocks(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, most: int
 def packages(nodes: DataFrame, edges: DataFrame, questions: DataFrame, k: int = 5, hops: int = 1) -> DataFrame:
     """One row a question: intents, keywords, policy, number of resolved nodes, subgraph size, and the context text.
 
-    Questions are expanded together; each is a group of its own in the walk.
-    Those of one policy share a call, so that there are as many walks as policies.
+    Questions are expanded together, each as a group of its own with the budgets
+    of its policy, so that the number of joins doesn't grow with the questions.
     """
     asked = policies(resolve.understood(questions))
     ranked = cut(resolve.rank(nodes, edges, questions, k))
-    seeds = ranked.join(asked.select("question_id", "policy", F.get("intents", F.lit(0)).alias("primary")), "question_id").select(F.col("question_id").alias("grp"), "id", "policy")
-    kinds = {r["policy"]: r["intents"] for r in asked.select("policy", "intents").dropDuplicates(["policy"]).collect()}  # few policies
-    walks = []
-    for name, intents in kinds.items():
-        mine = seeds.filter(F.col("policy") == name).select("grp", "id")
-        if name == "default":
-            walks.append(traverse.reach(nodes, edges, mine, hops).select("grp", "id"))
-        else:
-            budget = policy(list(intents))[1]
-            walks.append(traverse.intent_reach(nodes, edges, mine, budget if hops == 1 else {r: min(h * hops, 3) for r, h in budget.items()}))
+    budget = [x for r in vocab.RELATIONSHIPS for x in (F.lit(r), F.col(f"hops_{r}") if hops == 1 else F.least(F.col(f"hops_{r}") * hops, F.lit(3)))]
+    seeds = ranked.join(asked.select("question_id", "policy", F.create_map(*budget).alias("limits")), "question_id").select(F.col("question_id").alias("grp"), "id", "policy", "limits")
+    plain = traverse.reach(nodes, edges, seeds.filter("policy = 'default'").select("grp", "id"), hops).select("grp", "id")
+    walks = [plain, traverse.intent_reach(nodes, edges, seeds.filter("policy <> 'default'"))]
     found = cut(reduce(DataFrame.unionByName, walks).distinct())
     inner = edges.join(found.select("grp", F.col("id").alias("source")), "source").join(found.select("grp", F.col("id").alias("target")), ["grp", "target"])
     arrow = F.concat(F.lit("    "), "source", F.lit("  →  "), "target", F.when(F.col("decorator_name").isNotNull(), F.concat(F.lit("  @"), "decorator_name")).otherwise(""))

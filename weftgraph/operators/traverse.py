@@ -38,9 +38,11 @@ def subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int) ->
     return nodes.join(found, "id", "left_semi"), induced(edges, found)
 
 
-def intent_reach(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, budgets: dict[str, int], default: int = 1, strict: bool = True) -> DataFrame:
+def intent_reach(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, budgets: dict[str, int] | None = None, default: int = 1, strict: bool = True) -> DataFrame:
     """Ids reached under hop budgets for each relationship, carried along each path; ``seeds``: (grp, id).
 
+    Budgets are the same for all groups, or a map column ``limits`` of the seeds.
+
     With ``strict`` only the first edge of a (node, relationship, hops used) is
     followed: out-edges before in-edges, in edge order, for the first entry that
     comes to the node (seeds by id, then order of discovery).  Without, all are.
@@ -48,18 +50,21 @@ def intent_reach(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, budgets:
     many as the budgets add up to.
     """
     relationships = list(vocab.RELATIONSHIPS)
-    limit = F.create_map(*[F.lit(x) for r in relationships for x in (r, budgets.get(r, default))])
+    if budgets is not None:
+        seeds = seeds.withColumn("limits", F.create_map(*[F.lit(x) for r in relationships for x in (r, budgets.get(r, default))]))
+    started = cut(seeds.dropDuplicates(["grp", "id"]).join(nodes.select("id"), "id", "left_semi").select("grp", "id", "limits"))
+    levels = started.agg(F.max(F.aggregate(F.map_values("limits"), F.lit(0), lambda a, x: a + x))).first()[0] or 0
     e = F.explode(F.array(
         F.struct(F.col("source").alias("id"), F.lit(0).alias("side"), F.col("target").alias("other")), F.struct(F.col("target").alias("id"), F.lit(1).alias("side"), F.col("source").alias("other")),
     ))
     both = edges.select(e.alias("e"), "relationship", place(0).alias("place")).select("e.*", "relationship", "place")
     ids = nodes.select("id")
     used0 = F.create_map(*[F.lit(x) for r in relationships for x in (r, 0)])
-    seen = seeds.select("grp", "id").distinct().join(ids, "id", "left_semi")
-    frontier = seen.withColumn("ord", F.row_number().over(W.partitionBy("grp").orderBy("id"))).withColumn("used", used0)
+    seen = started.select("grp", "id")
+    frontier = started.withColumn("ord", F.row_number().over(W.partitionBy("grp").orderBy("id"))).withColumn("used", used0)
     burned: DataFrame | None = None
-    for _ in range(sum(budgets.get(r, default) for r in relationships)):
-        steps = frontier.join(both, "id").withColumn("d", F.element_at("used", F.col("relationship"))).filter(F.col("d") < F.element_at(limit, F.col("relationship")))
+    for _ in range(levels):
+        steps = frontier.join(both, "id").withColumn("d", F.element_at("used", F.col("relationship"))).filter(F.col("d") < F.element_at("limits", F.col("relationship")))
         keys = ["grp", "id", "relationship", "d"]
         if burned is not None:
             steps = steps.join(burned, keys, "left_anti")
@@ -71,10 +76,10 @@ def intent_reach(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, budgets:
             break
         burned = steps.select(*keys).distinct() if burned is None else burned.unionByName(steps.select(*keys).distinct())
         used = F.map_zip_with("used", F.create_map(F.col("relationship"), F.lit(1)), lambda k, a, b: a + F.coalesce(b, F.lit(0)))
-        there = steps.join(ids.withColumnRenamed("id", "other"), "other", "left_semi").select("grp", F.col("other").alias("id"), used.alias("used"), "ord", "side", "place", "relationship")
+        there = steps.join(ids.withColumnRenamed("id", "other"), "other", "left_semi").select("grp", F.col("other").alias("id"), used.alias("used"), "limits", "ord", "side", "place", "relationship")
         there = there.withColumn("key", F.to_json("used"))  # maps can't be compared
         arrived = there.dropDuplicates(["grp", "id", "key"]) if not strict else there
-        arrived = cut(arrived.withColumn("ord", F.row_number().over(W.partitionBy("grp").orderBy("ord", "side", "relationship", "place", "id"))).select("grp", "id", "used", "ord"))
+        arrived = cut(arrived.withColumn("ord", F.row_number().over(W.partitionBy("grp").orderBy("ord", "side", "relationship", "place", "id"))).select("grp", "id", "used", "limits", "ord"))
         seen = seen.unionByName(arrived.select("grp", "id")).distinct()
         frontier = arrived
     return seen
