@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe_codec, exact_dedup, html_text, mixing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
+from . import bpe_codec, exact_dedup, html_text, mixing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.query,
     "op4_suffix_dedup": suffix_dedup.query,
     "op5_bpe_codec": bpe_codec.query,
+    "op6_quality_classifier": quality_classifier.query,
     "op7_token_counts": token_counts.query,
     "op8_mixing": mixing.query,
     "op9_html_text": html_text.query,
