@@ -168,7 +168,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     repeated = materialize(merge(index, groups(rows.filter(~old)), shards).filter("group_size > 1"), "op2-groups")
     at = repeated.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.col("keep_rows").alias("_rows"), F.col("group_size").alias("_size"))
     clash = [c for c in docs.columns if c.lower() in {"_keep", "_rows", "_size"}]
-    found = rows.drop(*clash).join(at, "_digest", "left")
+    found = rows.drop(*clash).join(at.hint("merge"), "_digest", "left")  # the same plan at every size
     wins = F.col("_size").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep"))
     if repeated.filter("keep_rows > 1").isEmpty():
         found = found.withColumn("kept", wins)
