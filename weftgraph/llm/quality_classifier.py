@@ -160,15 +160,15 @@ def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray],
 _VIEWS = "doc_id long, label double, text_view binary, meta_view binary"
 
 
-def _seen(docs: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Views and labels of a bounded table, on the driver, in the order of a hash of the id."""
+def _seen(docs: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Views and labels of at most ``most`` rows, on the driver, in the order of a hash of the id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = list(zip(b["text"].to_pylist(), b["lang"].to_pylist(), b["source"].to_pylist(), b["n_chars"].to_pylist(), strict=True))
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["label"], pa.array([text_view(r[0] or "").astype(np.float16).tobytes() for r in rows], pa.binary()), pa.array([meta_view(*r[1:]).astype(np.float16).tobytes() for r in rows], pa.binary())], ["doc_id", "label", "text_view", "meta_view"])
 
-    got = docs.mapInArrow(run, _VIEWS).orderBy(F.xxhash64("doc_id"), "text_view", "label").collect()
+    got = docs.mapInArrow(run, _VIEWS).limit(most).orderBy(F.xxhash64("doc_id"), "text_view", "label").collect()
     views = [np.frombuffer(b"".join(bytes(r[c]) for r in got), np.float16).reshape(len(got), n).astype(np.float32) for c, n in (("text_view", WORD_SLOTS + MADE_UP), ("meta_view", META_SLOTS))]
     return views, np.array([r["label"] for r in got], np.float64)
 
@@ -180,8 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     others = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
-    views, y = _seen(source.join(F.broadcast(some), "doc_id").limit(2 * labelled))  # both at most as many rows as their bound
-    free, _ = _seen(source.join(F.broadcast(others), "doc_id").withColumn("label", F.lit(0.0)).limit(2 * pool))
+    views, y = _seen(source.join(F.broadcast(some), "doc_id"), 2 * labelled)  # both broadcasts have at most as many ids as their bound
+    free, _ = _seen(source.join(F.broadcast(others), "doc_id").withColumn("label", F.lit(0.0)), 2 * pool)
     return co_train(views, y, free) if len(y) else None
 
 
