@@ -200,7 +200,7 @@ def rank(nodes: DataFrame, edges: DataFrame, questions: DataFrame, k: int = 10,
     score = reduce(Column.__add__, [F.col(s) for s in SIGNALS]).cast("double")
     told = F.array_join(F.filter(F.array(*[F.when(F.col(s) != 0, F.format_string(f"{s} %+d", F.col(s))) for s in SIGNALS]), lambda x: x.isNotNull()), "; ")
     keys = [c for c in ("config", "question_id") if c in scored.columns]
-    best = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "id"))
+    best = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "id")).cast("long")
     ranked = scored.select(*keys, "id", "type", score.alias("score"), told.alias("reason")).withColumn("rank", best)
     return ranked.filter(F.col("rank") <= k)
 

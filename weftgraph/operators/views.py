@@ -44,14 +44,14 @@ def counts_by(table: DataFrame, column: str, name: str) -> DataFrame:
 def top_by_type(nodes: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
     """The k nodes of each type with most edges; ties by first place in the edge list."""
     ranked = degrees(edges).join(nodes.select("id", "type"), "id")
-    rank = F.row_number().over(W.partitionBy("type").orderBy(F.desc("degree"), "place"))
+    rank = F.row_number().over(W.partitionBy("type").orderBy(F.desc("degree"), "place")).cast("long")
     return ranked.withColumn("rank", rank).filter(F.col("rank") <= k).select("type", "rank", "id", "degree")
 
 
 def hotspots(edges: DataFrame, k: int = 10) -> DataFrame:
     """The k ids with most edges, decorator names included."""
     top = degrees(edges).orderBy(F.desc("degree"), "place").limit(k)
-    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("degree"), "place"))).select("rank", "id", "degree")
+    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("degree"), "place")).cast("long")).select("rank", "id", "degree")
 
 
 def view(nodes: DataFrame, edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
