@@ -1,10 +1,16 @@
 """Operator 3: quality rules by compression bands.
 
-A text's bytes over its zstandard frame's is low for noise (keys, base64,
-shuffled characters) and high for repetition.  It grows with length, so the
-limits are given for classes of length.  The whole document is held against its
-class, and every full chunk of CHUNK bytes against one band, which finds a long
-text that is junk in part; more than CHUNK_SHARE of its chunks must be outside.
+A text's bytes over its zstandard frame's is low for noise (keys, base64, random
+printable characters) and high for repetition.  It grows with length, so the
+limits are given for classes of length; the lower ones lie between base64, also
+in words, and clean text, which is nearer to them the shorter it is.  Scripts of
+two or three bytes a character have few repeats of bytes and lower limits of
+their own.  Noise of fewer than 256 bytes and noise of few different characters
+(hexadecimal digits, shuffled letters) compress like clean text and are not told
+apart.  The whole
+document is held against its class, and every full chunk of CHUNK bytes, with
+the last CHUNK bytes, against one band, which finds a long text that is junk in
+part; more than CHUNK_SHARE of its chunks must be outside.
 The base counts (words, symbols, repeated lines and 5-word windows) come with
 it; ``base_failed`` documents are rejected whatever their ratio.
 
@@ -27,15 +33,20 @@ from ._common import bounded_batches, documents, text_bytes
 
 LEVEL = 3
 CHUNK = 4096
-CHUNK_BAND = (1.15, 4.5)
+CHUNK_BAND = (1.45, 4.5)
 CHUNK_SHARE = 0.25
+#: Lowest ratios of texts and chunks with more than WIDE_SHARE of their bytes outside ASCII.
+WIDE_CHUNK_LOW = 1.15
+WIDE_LOWS = {128: 0.9, 256: 1.1, 512: 1.1, 1024: 1.2, 4096: 1.25, 16384: 1.25, 65536: 1.25}
+WIDE_SHARE = 0.25
 #: (bytes from, lowest ratio, highest ratio).  Below 128 bytes the frame's own bytes rule the ratio.
-BANDS = ((0, 0.0, 2.5), (128, 0.9, 2.5), (256, 1.1, 3.2), (1024, 1.2, 3.8), (4096, 1.25, 4.5), (16384, 1.25, 5.5), (65536, 1.25, 6.5))
+BANDS = ((0, 0.0, 2.5), (128, 1.0, 2.5), (256, 1.25, 3.2), (512, 1.32, 3.2), (1024, 1.4, 3.8), (4096, 1.45, 4.5), (16384, 1.45, 5.5), (65536, 1.45, 6.5))
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 
 _SYMBOLS = b"#*$%&|<>"
+_NOT_ASCII = bytes(range(0x80, 0x100))
 _NOT_WORD_STARTS = bytes(range(0x80, 0xC0)) + b" \t\n\x0b\x0c\r"  # continuation bytes and white space
 
 RESULT = T.StructType(
@@ -69,6 +80,15 @@ def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
+def _wide(text: bytes) -> bool:
+    return len(text) - len(text.translate(None, _NOT_ASCII)) > WIDE_SHARE * len(text)
+
+
+def _chunk_outside(chunk: bytes, compress) -> bool:
+    low, high = CHUNK_BAND
+    return _outside(CHUNK / len(compress(chunk)), WIDE_CHUNK_LOW if _wide(chunk) else low, high)
+
+
 def _outside(ratio: float, low: float, high: float) -> bool:
     return ratio < low or ratio > high
 
@@ -78,9 +98,13 @@ def measure(text: bytes, compress) -> tuple:
     lines = [x for x in text.split(b"\n") if x.strip(b" \t\r\x0b\x0c")]
     repeated = repeat_words(words)
     ratio = len(text) / len(compress(text)) if text else 0.0
-    low, high = next(b[1:] for b in reversed(BANDS) if len(text) >= b[0])
-    n_chunks = len(text) // CHUNK
-    bad = sum(_outside(CHUNK / len(compress(text[k : k + CHUNK])), *CHUNK_BAND) for k in range(0, n_chunks * CHUNK, CHUNK))
+    size, low, high = next(b for b in reversed(BANDS) if len(text) >= b[0])
+    low = WIDE_LOWS.get(size, low) if _wide(text) else low
+    starts = [*range(0, len(text) - CHUNK + 1, CHUNK)]
+    if starts and len(text) % CHUNK:
+        starts.append(len(text) - CHUNK)
+    n_chunks = len(starts)
+    bad = sum(_chunk_outside(text[k : k + CHUNK], compress) for k in starts)
     failed = len(words) < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * len(words)
     kept = not failed and not _outside(ratio, low, high) and bad <= CHUNK_SHARE * n_chunks
     return (
