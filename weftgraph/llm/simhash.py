@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import jaccard
 from ._common import bounded_batches, documents, materialize, text_bytes
 from .components import components
 
@@ -69,10 +70,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def with_fingerprint(docs: DataFrame, width: int = SHINGLE, carry: list[str] | None = None) -> DataFrame:
-    """``docs`` (text, ...) plus _fp, the fingerprint as a signed long."""
+def with_fingerprint(docs: DataFrame, width: int = SHINGLE, carry: list[str] | None = None, sets: bool = False) -> DataFrame:
+    """``docs`` (text, ...) plus _fp, the fingerprint as a signed long, and with ``sets`` _node, the digest of the five-word shingle set."""
     bounded_batches(docs.sparkSession)
-    through = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("_fp", "_bytes")]
+    added = ["_fp", "_node"] if sets else ["_fp"]
+    through = [c for c in (docs.columns if carry is None else carry) if c.lower() not in (*added, "_bytes")]
     rows = docs.select(*[F.col(f"`{c}`") for c in through], text_bytes().alias("_bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,10 +82,12 @@ def with_fingerprint(docs: DataFrame, width: int = SHINGLE, carry: list[str] | N
             at = batch.schema.get_field_index("_bytes")
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             names = [x for i, x in enumerate(batch.schema.names) if i != at]
-            made = np.array([fingerprint(t.as_py(), width) for t in batch["_bytes"]], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(made)], [*names, "_fp"])
+            made = [pa.array(np.array([fingerprint(t.as_py(), width) for t in batch["_bytes"]], np.uint64).view(np.int64))]
+            if sets:
+                made.append(pa.array(map(jaccard.node, jaccard.shingle_sets(batch["_bytes"].to_pylist())), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*columns, *made], [*names, *added])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in through] + [T.StructField("_fp", T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in through] + [T.StructField(c, T.LongType()) for c in added]))
 
 
 def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -101,15 +105,28 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return near.join(least, "at").filter("fp <> b").select(fp.alias("a"), "b").distinct()
 
 
-def _rooted(docs: DataFrame, width: int, radius: int, carry: list[str] | None) -> DataFrame:
+def _by_sets(rows: DataFrame) -> DataFrame:
+    """Links of fingerprints whose rows have equal or similar shingle sets; ``rows``: _fp, _node, doc_id and text."""
+    named = materialize(rows.select("_node", "_fp").distinct(), "op1-sets")
+    least = named.groupBy("_node").agg(F.min("_fp").alias("b"))
+    equal = named.join(least, "_node").select(F.col("_fp").alias("a"), "b")
+    pairs = jaccard.links(rows)
+    near = pairs.withColumnRenamed("b", "_b").join(least.select(F.col("_node").alias("a"), F.col("b").alias("x")), "a").join(least.select(F.col("_node").alias("_b"), F.col("b").alias("y")), "_b")
+    return equal.union(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b")
+
+
+def _rooted(docs: DataFrame, width: int, radius: int, carry: list[str] | None, sets: bool = False) -> DataFrame:
     """``docs`` plus _fp, _root (the component's least fingerprint) and component_id.
 
     The fingerprints are computed once, over whole texts, and written with the
-    carried columns to the shared folder.
+    carried columns to the shared folder.  ``sets`` also links rows of equal or
+    similar shingle sets (jaccard.py).
     """
-    rows = materialize(with_fingerprint(docs, width, carry), "op1-fingerprints")
+    rows = materialize(with_fingerprint(docs, width, carry, sets), "op1-fingerprints")
     classes = materialize(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("least")), "op1-classes")
-    linked = components(links(classes, radius))
+    near = links(classes, radius)
+    linked = components(near.union(_by_sets(rows)) if sets else near)
+    rows = rows.drop("_node") if sets else rows
     rooted = classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("_root"))
     named = rooted.groupBy("_root").agg(F.min("least").alias("component_id"))
     label = rooted.join(named, "_root").select(F.col("fp").alias("_fp"), "_root", "component_id")
@@ -122,10 +139,10 @@ def near_components(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     return made.withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp", "_root")
 
 
-def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, sets: bool = False) -> DataFrame:
     """The columns of ``docs``, of each component the row with the least doc_id (of rows that repeat it, one)."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    least = _rooted(docs, width, radius, None).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = _rooted(docs, width, radius, None, sets).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     if least.groupBy("_root").count().filter("count > 1").isEmpty():
         return least.select(*columns)
     return least.dropDuplicates(["_root"]).select(*columns)
