@@ -410,4 +410,4 @@ def _(spark, d):
 @query("ablation_topk")
 def _(spark, d):
     nodes, edges = adapter.graph(spark, d, keep=True)
-    return resolve.ablation(nodes, edges, adapter.questions(spark).limit(3), 3).select("config", "question_id", "rank", "id", "score")
+    return resolve.ablation(nodes, edges, adapter.questions(spark), 5).select("config", "question_id", "rank", "id", "score")
