@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_codec.bpe_codes(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"], texts=False)
+    return bpe_codec.bpe_codes(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
 
 
 STAGES = [
