@@ -4,7 +4,8 @@ First exchange: each window of WINDOW words has an anchor, the least hash of its
 ANCHOR-word grams, which neighbouring windows mostly share.  Chunks ask whether
 anchors stand in another document.  A shard keeps the anchors it has seen in
 sorted immutable runs; a new batch is sorted into a run of its own, runs of like
-size are merged (compacted), and the batches are merge-joined with what remains.
+size are merged (compacted), and all blocks are looked up in what remains.  Runs
+live within one call: a new batch can't be held against those of earlier calls.
 
 Second exchange: windows whose anchor is shared are verified.  They are asked
 with a 128-bit digest of their words and the least doc_id that has them here;
