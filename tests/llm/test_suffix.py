@@ -59,9 +59,11 @@ def brute(rows, width):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [4096, 3])  # 3: anchors are split, and sub-shards merged by binary search
-def test_query_matches_brute_force(spark, monkeypatch, hot):
+# (3, 1000): anchors are split, and sub-shards merged by binary search; (3, 1), (3, 4): windows of hot anchors are dealt one by one
+@pytest.mark.parametrize(("hot", "parts"), [(4096, 4), (3, 1000), (3, 4), (3, 1)])
+def test_query_matches_brute_force(spark, monkeypatch, hot, parts):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "PARTS", parts)
     monkeypatch.setattr(suffix_dedup, "BATCH", 300)
     rows = [(k, t) for k, t in enumerate(texts(9, 60, "abcde"))] + [(None, None), (None, "é" * 40), (5, "é" * 40), (7, "a" * 100), (7, "a" * 100), (8, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "doc_id").repartition(3)

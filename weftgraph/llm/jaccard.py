@@ -29,9 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import bounded_batches, materialize, text_bytes
-from .blocks import Chunk, Exchange, blocks_table, mixed, packed_bits
+from .blocks import Chunk, Exchange, RunIndex, answered_bits, answers_of, blocks_table, dealt, first_of, keys_with_bits, mixed, packed_bits, read_keys_with_bits, shard_of
 from .components import components
-from .substring_dedup import RunIndex, _answers, _bits, _first_of, _shard, _split
 
 SHINGLE = 5
 PERCENT = 80
@@ -163,48 +162,59 @@ def hot_shingles(docs: DataFrame, width: int = SHINGLE) -> np.ndarray:
     return np.sort(np.array([r["key"] for r in counted.orderBy(F.desc("n"), "key").limit(HOT_MOST).collect()], np.int64).view(np.uint64))
 
 
+class Prefixes:
+    """The distinct sets of a chunk: digest, size and parity bits of each, and the shingles of its prefix."""
+
+    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, length: np.ndarray, keys: np.ndarray):
+        self.nodes, self.sizes, self.bits, self.length, self.keys = nodes, sizes, bits, length, keys
+        self.owner = np.repeat(np.arange(len(nodes)), length)
+
+    @staticmethod
+    def pack(texts: list[bytes], width: int, hot: np.ndarray, percent: int) -> bytes:
+        sets = {node(s): s for s in shingle_sets(texts, width) if len(s)}
+        firsts = [prefix(s, hot, percent) for s in sets.values()]
+        parts = [np.array([len(sets)], np.int64), np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()], np.int64), np.array([len(p) for p in firsts], np.int64), *map(parity, sets.values()), *firsts]
+        return b"".join(x.tobytes() for x in parts)
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> Prefixes:
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        nodes, sizes, length = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n)
+        bits = np.frombuffer(raw, "<u8", WORDS64 * n, 8 + 24 * n).reshape(n, WORDS64)
+        return cls(nodes, sizes, bits, length, np.frombuffer(raw, "<u8", int(length.sum()), 8 + (24 + 8 * WORDS64) * n))
+
+
 def _met(docs: DataFrame, width: int, percent: int) -> DataFrame:
     hot = hot_shingles(docs, width)
-    exchange = Exchange(docs)
+    exchange = Exchange(docs, lambda chunk: Prefixes.pack(chunk.texts, width, hot, percent), texts=False)
     shards = exchange.shards
 
-    def asked(chunk: Chunk):
-        """The chunk's distinct sets, each one's prefix, and the prefixes' distinct shingles."""
-        sets = {node(s): s for s in shingle_sets(chunk.texts, width) if len(s)}
-        firsts = [prefix(s, hot, percent) for s in sets.values()]
-        keys = np.concatenate(firsts) if firsts else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(firsts)), [len(p) for p in firsts])
-        low, least, place = _first_of(keys, owner, np.minimum)
-        return sets, keys, owner, low, least != _first_of(keys, owner, np.maximum)[1], place
-
     def ask(chunk: Chunk):
-        _, _, _, low, many, _ = asked(chunk)
-        for s, at in _split(_shard(low, shards), shards) if len(low) else ():
-            yield s, 0, np.packbits(many[at]).tobytes() + low[at].tobytes()
+        sets = Prefixes.unpack(chunk.notes)
+        low, least, _ = first_of(sets.keys, sets.owner, np.minimum)
+        many = least != first_of(sets.keys, sets.owner, np.maximum)[1]
+        for s, at in dealt(shard_of(low, shards)):
+            yield s, 0, keys_with_bits(low[at], many[at])
 
     def resolve(blocks: list[dict]):
         index, got = RunIndex(np.add), []
-        for b in blocks:  # n keys take 8 n bytes, their bits n / 8 more
-            n = len(b["payload"]) * 8 // 65
-            bits = np.frombuffer(b["payload"], np.uint8, len(b["payload"]) - 8 * n)
-            got.append(np.frombuffer(b["payload"], "<u8", n, len(bits)))
-            index.add(got[-1], np.unpackbits(bits, count=n).astype(np.int64) + 1)
+        for b in blocks:
+            keys, many = read_keys_with_bits(b["payload"])
+            got.append(keys)
+            index.add(keys, many.astype(np.int64) + 1)
         for b, keys in zip(blocks, got, strict=True):
             yield b["chunk"], 0, packed_bits(index.find(keys) > 1)
 
     def entries(chunk: Chunk, answers: list[dict]) -> pa.Table:
-        sets, keys, owner, low, _, place = asked(chunk)
-        shared = _bits(_answers(answers, 0), _shard(low, shards), shards)[place] if len(low) else np.zeros(0, bool)
-        keys, owner = keys[shared], owner[shared]
+        sets = Prefixes.unpack(chunk.notes)
+        if not len(sets.keys):
+            return blocks_table([])
+        low, _, place = first_of(sets.keys, sets.owner, np.minimum)
+        shared = answered_bits(answers_of(answers, 0), shard_of(low, shards))[place]
+        keys, owner = sets.keys[shared], sets.owner[shared]
         made = np.zeros(len(keys), _ENTRY)
-        made["key"] = keys
-        if len(keys):
-            listed = list(sets.items())
-            used, back = np.unique(owner, return_inverse=True)
-            made["node"] = np.array([listed[k][0] for k in used], np.int64)[back]
-            made["size"] = np.array([len(listed[k][1]) for k in used], np.int64)[back]
-            made["bits"] = np.stack([parity(listed[k][1]) for k in used])[back]
-        return blocks_table([(s, chunk.name, 0, made[at].tobytes()) for s, at in _split(_shard(keys, shards), shards)] if len(keys) else [])
+        made["key"], made["node"], made["size"], made["bits"] = keys, sets.nodes[owner], sets.sizes[owner], sets.bits[owner]
+        return blocks_table([(s, chunk.name, 0, made[at].tobytes()) for s, at in dealt(shard_of(keys, shards))] if len(keys) else [])
 
     def meet(table: pa.Table) -> pa.Table:
         return _meet(np.concatenate([np.frombuffer(p, _ENTRY) for p in table["payload"].to_pylist()]), percent)

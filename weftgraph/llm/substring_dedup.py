@@ -31,52 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import documents
-from .blocks import Chunk, Exchange, blocks_table, cover, mixed, packed_bits, runs, sliding_min, unpacked_bits
+from .blocks import Chunk, Exchange, RunIndex, answered_bits, answers_of, blocks_table, cover, dealt, first_of, keys_with_bits, mixed, packed_bits, read_keys_with_bits, shard_of, sliding_min, unpacked_bits
 
 WINDOW = 13
 ANCHOR = 5
 RESULT = "doc_id long, n_words long, n_removed long, kept_text binary, kept_sha256 string"
 
 
-class RunIndex:
-    """Sorted immutable runs of keys with a value each; ``join`` combines the values of equal keys.
-
-    A new run is merged with the last one while that is less than twice its
-    size, so that there are logarithmically many runs and each key is moved
-    logarithmically often.
-    """
-
-    def __init__(self, join: np.ufunc):
-        self.join, self.levels = join, []
-
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        order = np.argsort(keys, kind="stable")
-        run = self._unique(keys[order], values[order])
-        while self.levels and len(self.levels[-1][0]) < 2 * len(run[0]):
-            run = self._merged(self.levels.pop(), run)
-        self.levels.append(run)
-
-    def _unique(self, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = runs(keys)
-        return keys[first], self.join.reduceat(values, first) if len(first) else values
-
-    def _merged(self, a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-        order = np.argsort(keys, kind="stable")
-        return self._unique(keys[order], values[order])
-
-    def compact(self) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.levels) > 1:
-            b = self.levels.pop()
-            self.levels.append(self._merged(self.levels.pop(), b))
-        return self.levels[0] if self.levels else (np.zeros(0), np.zeros(0))
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Values of keys that are all in the index."""
-        held, values = self.compact()
-        return values[np.searchsorted(held, keys)]
-
-
 _ODD = np.random.default_rng(13).integers(1, 1 << 62, (3, 64), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -91,18 +52,31 @@ def _window_hash(words: np.ndarray, width: int, row: int) -> np.ndarray:
 class Words:
     """The words of a chunk as two 64-bit hashes each; windows are numbered through the documents in order."""
 
-    def __init__(self, chunk: Chunk, window: int):
+    def __init__(self, known: list[bytes], number: list[np.ndarray], window: int):
+        """``known``: the distinct words; ``number``: of each document, its words' places among them."""
         import xxhash
 
-        self.chunk, self.window = chunk, window
-        self.words = [t.split() for t in chunk.texts]  # bytes: white space is ASCII's
-        known = {w: k for k, w in enumerate(set().union(*self.words))}
-        digest = b"".join(xxhash.xxh3_128_digest(w) for w in known)
-        self.table = np.frombuffer(digest, "<u8").reshape(-1, 2)
-        self.number = [np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)) for ws in self.words]
-        self.count = np.array([max(0, len(ws) - window + 1) for ws in self.words], np.int64)
+        self.known, self.number, self.window = known, number, window
+        self.table = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known)), "<u8").reshape(-1, 2)
+        self.count = np.array([max(0, len(n) - window + 1) for n in number], np.int64)
         self.begin = np.r_[0, np.cumsum(self.count)]
 
+    @staticmethod
+    def pack(texts: list[bytes]) -> bytes:
+        words = [t.split() for t in texts]  # bytes: white space is ASCII's
+        known = {w: k for k, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+        number = np.fromiter((known[w] for ws in words for w in ws), np.uint32, sum(map(len, words)))
+        joined, narrow = b" ".join(known), len(known) <= 65536
+        head = np.array([len(texts), len(joined), narrow, *map(len, words)], np.int64)
+        return head.tobytes() + joined + number.astype(np.uint16 if narrow else np.uint32).tobytes()
+
+    @classmethod
+    def unpack(cls, raw: bytes, window: int) -> Words:
+        n, size, narrow = np.frombuffer(raw, np.int64, 3).tolist()
+        length, at = np.frombuffer(raw, np.int64, n, 24), 24 + 8 * n
+        number = np.frombuffer(raw, np.uint16 if narrow else np.uint32, int(length.sum()), at + size).astype(np.int64)
+        return cls(raw[at : at + size].split(), np.split(number, np.cumsum(length)[:-1]) if n else [], window)
+
     def anchors(self, width: int = ANCHOR) -> np.ndarray:
         """The anchor of each window."""
         out = [sliding_min(_window_hash(self.table[n, 0], width, 0), self.window - width + 1) for n, c in zip(self.number, self.count, strict=True) if c]
@@ -127,65 +101,27 @@ def _half(digests: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(digests).view("<u8")[::2]
 
 
-def _first_of(keys: np.ndarray, values: np.ndarray, join: np.ufunc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct sorted keys, their joined values, and each entry's place among them."""
-    order = np.argsort(keys, kind="stable")
-    first = runs(keys[order])
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)]))
-    return keys[order][first], join.reduceat(values[order], first) if len(first) else values, place
-
-
 def _ask(words: Words, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct anchors of a chunk, whether two of its documents have them, and each window's place among them."""
     owner = words.owners()
-    low, least, place = _first_of(anchors, owner, np.minimum)
-    most = _first_of(anchors, owner, np.maximum)[1]
+    low, least, place = first_of(anchors, owner, np.minimum)
+    most = first_of(anchors, owner, np.maximum)[1]
     return low, least != most, place
 
 
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (mixed(keys ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(shards)).astype(np.int64)
-
-
-def _split(shard: np.ndarray, shards: int):
-    """(shard, places) of the shards that have entries."""
-    order = np.argsort(shard, kind="stable")
-    first = runs(shard[order])
-    for a, b in zip(first, np.r_[first[1:], len(order)], strict=True):
-        yield int(shard[order[a]]), order[a:b]
-
-
-def _answers(rows: list[dict], kind: int) -> dict[int, bytes]:
-    return {r["shard"]: r["payload"] for r in rows if r["kind"] == kind}
-
-
-def _bits(rows: dict[int, bytes], shard: np.ndarray, shards: int) -> np.ndarray:
-    out = np.zeros(len(shard), bool)
-    for s, at in _split(shard, shards):
-        if s not in rows:
-            raise RuntimeError("a chunk without its answers: the input changed while it was read")
-        out[at] = unpacked_bits(rows[s], len(at))
-    return out
-
-
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_text (UTF-8), kept_sha256."""
-    exchange = Exchange(docs)
+    exchange = Exchange(docs, lambda chunk: Words.pack(chunk.texts), texts=False)
     shards = exchange.shards
 
     def ask_anchors(chunk: Chunk):
-        words = Words(chunk, window)
+        words = Words.unpack(chunk.notes, window)
         keys, many, _ = _ask(words, words.anchors())
-        for s, at in _split(_shard(keys, shards), shards):
-            yield s, 0, np.packbits(many[at]).tobytes() + keys[at].tobytes()
+        for s, at in dealt(shard_of(keys, shards)):
+            yield s, 0, keys_with_bits(keys[at], many[at])
 
     def resolve_anchors(blocks: list[dict]):
-        asked = []
-        for b in blocks:  # n keys take 8 n bytes, their bits n / 8 more
-            n = len(b["payload"]) * 8 // 65
-            bits = np.frombuffer(b["payload"], np.uint8, len(b["payload"]) - 8 * n)
-            asked.append((np.frombuffer(b["payload"], "<u8", n, len(bits)), np.unpackbits(bits, count=n)))
+        asked = [read_keys_with_bits(b["payload"]) for b in blocks]
         index = RunIndex(np.add)
         for keys, many in asked:
             index.add(keys, many.astype(np.int64) + 1)
@@ -193,13 +129,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield b["chunk"], 0, packed_bits(index.find(keys) > 1)
 
     def ask_windows(chunk: Chunk, answers: list[dict]) -> pa.Table:
-        words = Words(chunk, window)
+        words = Words.unpack(chunk.notes, window)
         keys, _, place = _ask(words, words.anchors())
-        wanted = _bits(_answers(answers, 0), _shard(keys, shards), shards)[place] if len(keys) else np.zeros(0, bool)
+        wanted = answered_bits(answers_of(answers, 0), shard_of(keys, shards))[place] if len(keys) else np.zeros(0, bool)
         name, out = chunk.name, []
         if wanted.any():
-            digest, least, _ = _verify(words, wanted)
-            for s, at in _split(_shard(_half(digest), shards), shards):
+            digest, least, _ = _verify(chunk, words, wanted)
+            for s, at in dealt(shard_of(_half(digest), shards)):
                 ids, number = np.unique(least[at], return_inverse=True)
                 part = np.array([len(at), len(ids)], np.int64).tobytes() + ids.tobytes() + number.astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes()
                 out.append((s, name, 1, part + digest[at].tobytes()))
@@ -207,9 +143,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out.append((int.from_bytes(name[:6], "big") % shards, name, 2, packed_bits(wanted)))
         return blocks_table(out)
 
-    def _verify(words: Words, wanted: np.ndarray):
+    def _verify(chunk: Chunk, words: Words, wanted: np.ndarray):
         digest = np.ascontiguousarray(words.digests(wanted)).view(_DIGEST).ravel()
-        return _first_of(digest, words.chunk.numbers[words.owners()[wanted]], np.minimum)
+        return first_of(digest, chunk.numbers[words.owners()[wanted]], np.minimum)
 
     def resolve_windows(blocks: list[dict]):
         asked, index = [], RunIndex(np.minimum)
@@ -228,22 +164,22 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield chunk, 1, packed_bits(index.find(digest) < ids)
 
     def remove(chunk: Chunk, answers: list[dict]) -> pa.Table:
-        words = Words(chunk, window)
+        words = Words.unpack(chunk.notes, window)
         total = int(words.begin[-1])
         gone = np.zeros(total, bool)
         if total:
-            note = list(_answers(answers, 2).values())
+            note = list(answers_of(answers, 2).values())
             if len(note) != 1:
-                raise RuntimeError("a chunk without its answers: the input changed while it was read")
+                raise RuntimeError("a chunk without its answers")
             wanted = unpacked_bits(note[0], total)
             if wanted.any():
-                digest, least, place = _verify(words, wanted)
-                elsewhere = _bits(_answers(answers, 1), _shard(_half(digest), shards), shards)[place]
-                gone[wanted] = elsewhere | (words.chunk.numbers[words.owners()[wanted]] > least[place])
-        out = []
-        for k, own in enumerate(words.words):
+                digest, least, place = _verify(chunk, words, wanted)
+                elsewhere = answered_bits(answers_of(answers, 1), shard_of(_half(digest), shards))[place]
+                gone[wanted] = elsewhere | (chunk.numbers[words.owners()[wanted]] > least[place])
+        out, known = [], np.array(words.known, object)
+        for k, own in enumerate(words.number):
             covered = cover(np.flatnonzero(gone[words.begin[k] : words.begin[k + 1]]), window, len(own))
-            kept = b" ".join([w for w, c in zip(own, covered.tolist(), strict=True) if not c])
+            kept = b" ".join(known[own[~covered]].tolist())
             out.append((chunk.ids[k], len(own), int(covered.sum()), kept, hashlib.sha256(kept).hexdigest()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
