@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +61,21 @@ def text_bytes(name: str = "text") -> Column:
 
 def word_count(name: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(name), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def tucked(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with the columns ``used`` as they are and all others in one struct, where no name an operator makes can clash with theirs.
+
+    Also gives a function of a frame and the names of result columns, which
+    brings the columns of ``docs`` back in their order, but for those that
+    results replace, and the results after them.
+    """
+    rest = [c for c in docs.columns if c not in used]
+    packed = docs.select(*used, *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest")] if rest else []))
+
+    def out(df: DataFrame, *made: str) -> DataFrame:
+        new = {m.lower() for m in made}
+        old = [F.col(c) if c in used else F.col("_rest").getField(c).alias(c) for c in docs.columns if c.lower() not in new]
+        return df.select(*old, *made)
+
+    return packed, out

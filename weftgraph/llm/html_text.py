@@ -9,10 +9,15 @@ container's points are discounted by the share of its text that is inside links.
 The best container is kept with those siblings that score near it or read like
 text.  Blocks are put out in page order.
 
-Per page, Arrow batches, no shuffle.  Defined results: null and empty html give
-an empty text; broken markup is read as far as it goes, never refused; repeated
-rows get equal results; other columns pass through, result columns replace input
-columns of the same name.
+Per page, Arrow batches, no shuffle.  The page is read once from left to right:
+time is linear in its size, whatever its markup.  Defined results: null and
+empty html give an empty text; broken markup is read as far as it goes, never
+refused: a tag whose quotes never end ends at its first >, one without any > is
+text, or dropped if the page ends in it; a comment without an end takes the rest;
+number references beyond Unicode become U+FFFD; references are decoded in each
+text between two tags; equal scores go to the first container; repeated rows get
+equal results; other columns pass through, result columns replace input columns
+of the same name.
 """
 
 from __future__ import annotations
@@ -26,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_batches
+from ._common import bounded_batches, tucked
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/><]*)[^<>]*\Z", re.S
-)
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+LONG_NUMBER = re.compile(r"&#([xX]?)0*+([0-9a-fA-F]*+);?")
+OPEN_QUOTES = 64  # tags with a quote that never ends, after which quotes of a page are plain characters
+DEPTH = 512  # open elements; further ones inside become neighbours
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp svg math".split())
@@ -88,29 +95,60 @@ class Tree:
         return frozenset(words), hidden
 
     def _read(self, html: str) -> None:
-        stack, at, end = [0], 0, len(html)
-        find = MARKUP.search
+        self.stack = stack = [0]
+        at, end, last, open_quotes = 0, len(html), html.rfind(">"), 0
         while at < end:
-            m = find(html, at)
-            if m is None or m.start() > at:
-                self.kids[stack[-1]].append(html[at : m.start() if m else end])
-            if m is None:
+            tag = html.find("<", at)
+            if tag < 0:
+                tag = end
+            if tag > at:
+                self._say(html[at:tag])
+            if tag == end:
                 break
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
-            if not tag:
-                continue  # comment, doctype
-            if m[1] or m[4]:
-                self._close(stack, tag)
-                continue
-            attrs = m[3] or ""
-            self._imply(stack, tag)
-            k = self._open(tag, attrs, stack[-1])
-            if tag in RAW and not attrs.endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(html, at)
-                at = close.end() if close else end
-            elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK):
-                stack.append(k)
+            if html.startswith("<!--", tag):
+                stop = html.find("-->", tag + 4)
+                at = stop + 3 if stop >= 0 else end
+            elif tag > last:  # no tag ends any more
+                at = self._unended(html, tag)
+            elif html.startswith(("<!", "<?"), tag):
+                at = html.find(">", tag) + 1
+            elif m := TAG.match(html, tag):
+                whole = ATTRIBUTES.match(html, m.end()) if open_quotes < OPEN_QUOTES else None
+                if not whole:
+                    open_quotes += 1
+                at = whole.end() if whole else html.find(">", m.end()) + 1
+                if m[1]:
+                    self._close(stack, m[2].lower())
+                else:
+                    at = self._start(html, m[2].lower(), html[m.end() : at - 1], at)
+            else:
+                self._say("<")
+                at = tag + 1
+
+    def _say(self, text: str) -> None:
+        self.kids[self.stack[-1]].append(text)
+
+    def _unended(self, html: str, tag: int) -> int:
+        """The rest of a page without a >: text, up to a comment or a tag that is cut off."""
+        comment = html.find("<!--", tag)
+        stop = comment if comment >= 0 else html.rfind("<")
+        if stop > tag:
+            self._say(html[tag:stop])
+            return stop
+        if not TAG.match(html, tag) and not html.startswith("<!--", tag):
+            self._say(html[tag:])
+        return len(html)
+
+    def _start(self, html: str, tag: str, attrs: str, at: int) -> int:
+        stack = self.stack
+        self._imply(stack, tag)
+        k = self._open(tag, attrs, stack[-1])
+        if tag in RAW and not attrs.endswith("/"):
+            close = re.compile(rf"</{tag}\s*+/?>", re.I).search(html, at)
+            return close.end() if close else len(html)
+        if tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK) and len(stack) < DEPTH:
+            stack.append(k)
+        return at
 
     def _imply(self, stack: list[int], tag: str) -> None:
         if tag in ENDS_P:
@@ -229,7 +267,7 @@ class Tree:
         line: list[str] = []
 
         def end() -> None:
-            if words := unescape("".join(line)).split():
+            if words := "".join(line).split():
                 blocks.append(" ".join(words))
             line.clear()
 
@@ -239,7 +277,7 @@ class Tree:
             if x is None:
                 end()
             elif isinstance(x, str):
-                line.append(x)
+                line.append(_decoded(x) if "&" in x else x)
             elif not self.cut[x]:
                 if self.tag[x] in BLOCK:
                     end()
@@ -251,16 +289,26 @@ class Tree:
         return "\n".join(blocks)
 
 
+def _decoded(text: str) -> str:
+    try:
+        return unescape(text)
+    except ValueError:  # a number of thousands of digits
+        return unescape(LONG_NUMBER.sub(lambda m: f"&#{m[1]}{m[2]};" if len(m[2]) < 9 else "\ufffd", text))
+
+
 def main_text(html: str | None) -> str:
     return Tree(html).text() if html else ""
 
 
 def html_text(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``pages`` (html, ...) plus text, n_chars."""
+    if carry is None:
+        packed, out = tucked(pages, "html")
+        return out(html_text(packed, packed.columns), "text", "n_chars")
     bounded_batches(pages.sparkSession)
     made = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     taken = {f.name for f in made} | {"_html"}
-    through = [c for c in (pages.columns if carry is None else carry) if c.lower() not in taken]
+    through = [c for c in carry if c.lower() not in taken]
     rows = pages.select(*[F.col(f"`{c}`") for c in through], F.col("html").alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
