@@ -12,8 +12,8 @@ history; non-members are grouped among themselves.
 
 Defined results: null text is the empty text; null doc_ids are smaller than all
 others; of rows that repeat both the id and the text of a winner one stays;
-empty tables give empty tables; result columns replace input columns of the
-same name.
+empty tables give empty tables; result columns replace input columns of the same
+name, no other name clashes.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import documents, materialize
+from ._common import documents, materialize, tucked
 
 #: Digests of one shard at most, about: bounds a task's memory (some 100 bytes each).
 SHARD_DIGESTS = 65_536
@@ -154,21 +154,19 @@ def merge(index: DataFrame, batch: DataFrame, shards: int) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) plus keep_id, group_size, kept, text_sha256.
 
-    The rows with the larger half of the id range are the history, indexed
-    first; the others are looked up in it.  The winner of a text is its largest
-    id, so that a winner found in the history is never overtaken.
+    The rows from the median id up are the history, indexed first; the others
+    (null ids too) are looked up in it.  Shards are counted for all rows, so
+    that neither side fills one.
     """
-    rows = with_digest(docs)
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    middle = (low + high) // 2 if low is not None else 0
-    old = F.coalesce(F.col("doc_id") >= middle, F.lit(False))
-    known = materialize(groups(rows.filter(old)), "op2-history")
-    shards = max(1, known.count() // SHARD_DIGESTS + 1)
-    index = build_index(known, shards)
+    packed, out = tucked(docs, "doc_id", "text")
+    rows = with_digest(packed)
+    middle, total = docs.agg(F.percentile_approx("doc_id", 0.5), F.count("*")).first()
+    old = F.coalesce(F.col("doc_id") >= (0 if middle is None else middle), F.lit(False))
+    shards = total // SHARD_DIGESTS + 1
+    index = build_index(groups(rows.filter(old)), shards)
     repeated = materialize(merge(index, groups(rows.filter(~old)), shards).filter("group_size > 1"), "op2-groups")
     at = repeated.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.col("keep_rows").alias("_rows"), F.col("group_size").alias("_size"))
-    clash = [c for c in docs.columns if c.lower() in {"_keep", "_rows", "_size"}]
-    found = rows.drop(*clash).join(at.hint("merge"), "_digest", "left")  # the same plan at every size
+    found = rows.join(at.hint("merge"), "_digest", "left")  # the same plan at every size
     wins = F.col("_size").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep"))
     if repeated.filter("keep_rows > 1").isEmpty():
         found = found.withColumn("kept", wins)
@@ -176,11 +174,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         tied = wins & (F.coalesce("_rows", F.lit(1)) > 1)
         first = F.row_number().over(W.partitionBy("_digest").orderBy(F.lit(1))) == 1
         found = found.filter(~tied).withColumn("kept", wins).unionByName(found.filter(tied).withColumn("kept", first))
-    out = found.withColumns({
+    found = found.withColumns({
         "keep_id": F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep")),
         "group_size": F.coalesce("_size", F.lit(1)).cast("long"), "text_sha256": F.lower(F.hex("_digest")),
     })
-    return out.drop("_digest", "_keep", "_rows", "_size")
+    return out(found, "keep_id", "group_size", "kept", "text_sha256")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
