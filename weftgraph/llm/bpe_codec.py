@@ -3,8 +3,8 @@
 A merge only ever makes a vocabulary token.  Two neighbouring bytes that stand
 side by side inside no token can therefore never end in one symbol: between them
 lies a certain cut.  Pre-tokens are cut there, the fragments are encoded on
-their own, many at a time, and their ids are concatenated; a bounded table keeps
-the codes of words.
+their own, many at a time, and their ids are concatenated; a table bounded in
+words and their length keeps the codes of words.
 
 Text between white space is the unit that is normalised (NFC, lower case) and
 pre-tokenised, since none of these steps looks across white space.
@@ -13,7 +13,7 @@ Per document, Arrow batches, no shuffle.  Defined results: null is the empty
 text (no ids); special strings inside a text become their own id, as the
 library takes them; a text of any length is encoded whole; repeated rows get
 equal results; other columns pass through, result columns replace input columns
-of the same name.
+of the same name, no other name clashes; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_batches, documents
+from ._common import bounded_batches, documents, tucked
 from .token_counts import ArrayMerger, byte_symbols, merge_pairs
 
 MEMO = 1 << 18  # words whose codes a worker keeps
+KEPT = 64  # characters of such a word at most
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -120,6 +121,9 @@ class Codec:
         for words in cut:
             joined = " ".join(map(ids, words))
             out.append((joined.count(" ") + 1 if joined else 0, joined, " ".join(map(decoded, words))))
+        for w in [w for w in new.union(bare) if len(w) > KEPT]:
+            self.ids.pop(w, None)
+            self.text.pop(w, None)
         return out
 
     def _marked(self, text: str) -> list[str]:
@@ -137,12 +141,15 @@ def codec(path: str) -> Codec:
 
 def bpe_codes(docs: DataFrame, path: str, carry: list[str] | None = None, texts: bool = True) -> DataFrame:
     """``docs`` (text, ...) plus n_tokens, ids_sha256, decoded_sha256 and, with ``texts``, the ids and the decoded text."""
+    if carry is None:
+        packed, out = tucked(docs, "text")
+        return out(bpe_codes(packed, path, packed.columns, texts), "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if texts else []))
     bounded_batches(docs.sparkSession)
     made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if texts:
         made += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     taken = {f.name for f in made} | {"_text"}
-    through = [c for c in (docs.columns if carry is None else carry) if c.lower() not in taken]
+    through = [c for c in carry if c.lower() not in taken]
     rows = docs.select(*[F.col(f"`{c}`") for c in through], F.coalesce(F.col("text"), F.lit("")).alias("_text"))
 
     def sha(x: str) -> str:
