@@ -3,8 +3,8 @@
 The texts of a batch are cut into pre-tokens.  Those not met before are held as
 one ragged numpy array of symbols; in each step every sequence finds its
 lowest-rank adjacent pair and all sequences apply theirs at once, until none has
-a pair with a rank.  What survives is counted.  A bounded table keeps the counts
-of pre-tokens already met.
+a pair with a rank.  What survives is counted.  A table bounded in pre-tokens and
+their length keeps the counts of those already met.
 
 Applying all places of a sequence's pair in one step equals the one-by-one order
 if no two merges make the same token: a pair with the new symbol then has a
@@ -13,7 +13,8 @@ higher rank.  Loading checks that and otherwise applies the leftmost place only.
 Per document, Arrow batches, no shuffle.  Defined results: null is the empty
 text, 0 tokens; special strings inside a text are one token each, as the library
 takes them; repeated rows get equal results; other columns pass through, result
-columns replace input columns of the same name.
+columns replace input columns of the same name, no other name clashes; empty
+tables give empty tables.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_batches, documents
+from ._common import bounded_batches, documents, tucked
 
 LIMIT = 1024
 MEMO = 1 << 19  # pre-tokens, and texts between spaces, whose counts a worker keeps
+KEPT = 64  # characters of such a text at most
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 STEP_SYMBOLS = 1 << 20  # symbols merged at a time
 UNEVEN = 1 << 50  # stands for the count of what can't be cut at spaces
@@ -154,6 +156,7 @@ class Counter:
         self.cut = regex.compile(PATTERN).findall
         self.memo: dict[str, int] = {}
         self.spaced: dict[str, int] = {}
+        self.long: list[str] = []  # in the tables for this batch only
 
     def pieces(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens, and how many special strings stand between them."""
@@ -177,6 +180,7 @@ class Counter:
     def _new(self, words: list[str]) -> None:
         """Put the counts of pre-tokens not met before into the memo."""
         new = list(dict.fromkeys(w for w in words if w not in self.memo))
+        self.long += [w for w in new if len(w) > KEPT]
         self.memo.update(zip(new, self.counts([w.encode() for w in new]).tolist(), strict=True))
 
     def _of(self, cuts: list[list[str]]) -> list[int]:
@@ -210,9 +214,14 @@ class Counter:
         cuts = [self.pieces(texts[i]) for i in other]
         for i, n, (_, special) in zip(other, self._of([words for words, _ in cuts]), cuts, strict=True):
             out[i] = n + special
+        for w in self.long:
+            self.memo.pop(w, None)
+            self.spaced.pop(w, None)
+        self.long = []
         return out
 
     def _new_spaced(self, new: list[str]) -> None:
+        self.long += [x for x in new if len(x) > KEPT]
         even = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
         self.spaced.update(dict.fromkeys(new, UNEVEN))
         if even:
@@ -231,10 +240,13 @@ def counter(path: str) -> Counter:
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, carry: list[str] | None = None) -> DataFrame:
     """``docs`` (text, ...) plus n_bytes, n_tokens, over_limit."""
+    if carry is None:
+        packed, out = tucked(docs, "text")
+        return out(token_counts(packed, path, limit, packed.columns), "n_bytes", "n_tokens", "over_limit")
     bounded_batches(docs.sparkSession)
     made = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
     taken = {f.name for f in made} | {"_text"}
-    through = [c for c in (docs.columns if carry is None else carry) if c.lower() not in taken]
+    through = [c for c in carry if c.lower() not in taken]
     rows = docs.select(*[F.col(f"`{c}`") for c in through], F.coalesce(F.col("text"), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
