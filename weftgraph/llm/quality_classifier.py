@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_batches, documents
+from ._common import bounded_batches, documents, tucked
 
 LABELLED = 5000
 POOL = 5000
@@ -187,12 +187,15 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
 
 def score(docs: DataFrame, model: Model | None, carry: list[str] | None = None) -> DataFrame:
     """``docs`` (text, lang, source, n_chars, ...) plus text_score, meta_score, score, kept."""
+    if carry is None:
+        packed, out = tucked(docs, "text", "lang", "source", "n_chars")
+        return out(score(packed, model, packed.columns), "text_score", "meta_score", "score", "kept")
     bounded_batches(docs.sparkSession)
     made = [T.StructField(n, T.DoubleType()) for n in ("text_score", "meta_score", "score")] + [T.StructField("kept", T.BooleanType())]
     inner = {"_text": F.col("text"), "_lang": F.col("lang"), "_source": F.col("source"), "_n": F.col("n_chars").cast("long")}
     own = frozenset(inner)
     taken = {f.name for f in made} | own
-    through = [c for c in (docs.columns if carry is None else carry) if c.lower() not in taken]
+    through = [c for c in carry if c.lower() not in taken]
     rows = docs.select(*[F.col(f"`{c}`") for c in through], *[c.alias(n) for n, c in inner.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,8 +15,10 @@ The base counts (words, symbols, repeated lines and 5-word windows) come with
 it; ``base_failed`` documents are rejected whatever their ratio.
 
 Per document, Arrow batches, no shuffle.  Defined results: null and empty texts
-have no words and fail the base rule; repeated rows get equal results; other
-columns pass through, result columns replace input columns of the same name.
+have no words and fail the base rule; ratios at a limit are inside it; a text of
+any length is measured whole; repeated rows get equal results; other columns
+pass through, result columns replace input columns of the same name, no other
+name clashes.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_batches, documents, text_bytes
+from ._common import bounded_batches, documents, text_bytes, tucked
 
 LEVEL = 3
 CHUNK = 4096
@@ -127,9 +129,12 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def quality_rules(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``docs`` (text, ...) plus the measures; ``carry``: input columns to pass through (all)."""
+    if carry is None:
+        packed, out = tucked(docs, "text")
+        return out(quality_rules(packed, packed.columns), *RESULT.names)
     bounded_batches(docs.sparkSession)
     taken = {n.lower() for n in RESULT.names} | {"_text"}
-    through = [c for c in (docs.columns if carry is None else carry) if c.lower() not in taken]
+    through = [c for c in carry if c.lower() not in taken]
     rows = docs.select(*[F.col(f"`{c}`") for c in through], text_bytes().alias("_text"))
     schema = T.StructType([rows.schema[c] for c in through] + RESULT.fields)
     return rows.mapInArrow(_measure_batches, schema)

@@ -18,7 +18,7 @@ Defined results: null and empty texts, and texts without a word, have
 fingerprint 0 and are linked like any other; texts of fewer words than a shingle
 are one shingle; rows may repeat; a null doc_id never names a component unless
 all ids of it are null; empty tables give empty tables; result columns replace
-input columns of the same name.
+input columns of the same name, no other name clashes.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import jaccard
-from ._common import bounded_batches, documents, materialize, text_bytes
+from ._common import bounded_batches, documents, materialize, text_bytes, tucked
 from .components import components
 
 SHINGLE = 3
@@ -70,11 +70,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def with_fingerprint(docs: DataFrame, width: int = SHINGLE, carry: list[str] | None = None, sets: bool = False) -> DataFrame:
+def with_fingerprint(docs: DataFrame, width: int, carry: list[str], sets: bool = False) -> DataFrame:
     """``docs`` (text, ...) plus _fp, the fingerprint as a signed long, and with ``sets`` _node, the digest of the five-word shingle set."""
     bounded_batches(docs.sparkSession)
     added = ["_fp", "_node"] if sets else ["_fp"]
-    through = [c for c in (docs.columns if carry is None else carry) if c.lower() not in (*added, "_bytes")]
+    through = [c for c in carry if c.lower() not in (*added, "_bytes")]
     rows = docs.select(*[F.col(f"`{c}`") for c in through], text_bytes().alias("_bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +115,7 @@ def _by_sets(rows: DataFrame) -> DataFrame:
     return equal.union(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b")
 
 
-def _rooted(docs: DataFrame, width: int, radius: int, carry: list[str] | None, sets: bool = False) -> DataFrame:
+def _rooted(docs: DataFrame, width: int, radius: int, carry: list[str], sets: bool = False) -> DataFrame:
     """``docs`` plus _fp, _root (the component's least fingerprint) and component_id.
 
     The fingerprints are computed once, over whole texts, and written with the
@@ -126,26 +126,29 @@ def _rooted(docs: DataFrame, width: int, radius: int, carry: list[str] | None, s
     classes = materialize(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("least")), "op1-classes")
     near = links(classes, radius)
     linked = components(near.union(_by_sets(rows)) if sets else near)
-    rows = rows.drop("_node") if sets else rows
+    rows = rows.select(*carry, "_fp")
     rooted = classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("_root"))
     named = rooted.groupBy("_root").agg(F.min("least").alias("component_id"))
     label = rooted.join(named, "_root").select(F.col("fp").alias("_fp"), "_root", "component_id")
-    return rows.drop("component_id", "_root").join(label, "_fp", "left")
+    return rows.join(label, "_fp", "left")
 
 
 def near_components(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, carry: list[str] | None = None) -> DataFrame:
     """``docs`` (doc_id, text, ...) plus fingerprint (16 hex digits) and component_id."""
+    if carry is None:
+        packed, out = tucked(docs, "doc_id", "text")
+        return out(near_components(packed, width, radius, packed.columns), "fingerprint", "component_id")
     made = _rooted(docs, width, radius, carry)
     return made.withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp", "_root")
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, sets: bool = False) -> DataFrame:
     """The columns of ``docs``, of each component the row with the least doc_id (of rows that repeat it, one)."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    least = _rooted(docs, width, radius, None, sets).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    if least.groupBy("_root").count().filter("count > 1").isEmpty():
-        return least.select(*columns)
-    return least.dropDuplicates(["_root"]).select(*columns)
+    packed, out = tucked(docs, "doc_id", "text")
+    least = _rooted(packed, width, radius, packed.columns, sets).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if not least.groupBy("_root").count().filter("count > 1").isEmpty():
+        least = least.dropDuplicates(["_root"])
+    return out(least)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
