@@ -2,7 +2,7 @@
 
 Every document of a source has the same expected number of copies, its source's
 target over its source's size.  The documents of a source are laid on a line in
-the order (size, salt, doc_id); document i ends at i times that rate, one offset
+the order (size, salt, doc_id), the salt being a hash of the id; document i ends at i times that rate, one offset
 is added for the source, and a document is emitted once for each integer it
 crosses.  Ordering by size makes the sample stratified, so that the words taken
 stay within about one document of the target.
@@ -12,10 +12,13 @@ one task: rows before this size (a window over the source's distinct sizes),
 rows of this size in smaller salts (a window over at most ``salts`` counts), and
 the row's number within (source, size, salt).
 
+Targets are worked out in one task over one row a source, two numbers each.
+
 Defined results: null text is size 0; a null source is a source of its own, last
-in order; a null doc_id is ordered as 0; rows that repeat an id are separate
-documents, ordered by a hash of their text; an empty table gives an empty table;
-result columns replace input columns of the same name.
+in order; a null doc_id is salted by a hash of its text; rows that repeat an id
+are separate documents, ordered by a hash of their text; an empty table gives an
+empty table; result columns replace input columns of the same name, no other
+name clashes.
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import documents, word_count
+from ._common import documents, materialize, tucked, word_count
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5  # words to take, as a share of all words
 MOST = 2.0  # a target's bound, as a multiple of its source's size
 SALTS = 1024
 SEED = "mix-17"
+MADE = ("size", "source_size", "target", "copies", "taken")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
@@ -61,11 +65,22 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, mo
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, salts: int = SALTS, seed: str = SEED) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) plus size, source_size, target, copies, taken."""
+    """``docs`` (doc_id, text, source, ...) plus size, source_size, target, copies, taken.
+
+    Words are counted once: what is drawn from is written to the shared folder.
+    """
+    packed, out = tucked(docs, "doc_id", "text", "source")
+    return out(_placed(packed, weights, budget, most, salts, seed), *MADE)
+
+
+def _placed(docs: DataFrame, weights, budget: float, most: float, salts: int, seed: str, texts: bool = True) -> DataFrame:
+    """``docs`` (doc_id, text, source and one struct) with MADE; without ``texts`` the text is left behind."""
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
+    named = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     keyed = docs.withColumns({
-        "size": word_count(), "_key": key, "_salt": F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(salts)).cast("long"),
+        "size": word_count(), "_key": key, "_salt": F.pmod(F.conv(F.substring(named, 1, 8), 16, 10).cast("long"), F.lit(salts)), "_tie": F.xxhash64("text"),
     })
+    keyed = materialize(keyed if texts else keyed.drop("text"), "op8-sizes")
     by_salt = keyed.groupBy("_key", "size", "_salt").agg(F.count("*").alias("_n"))
     by_size = by_salt.groupBy("_key", "size").agg(F.sum("_n").alias("_n"))
     targets = source_targets(by_size.groupBy("_key").agg(F.sum(F.col("size") * F.col("_n")).alias("_words")), weights, budget, most)
@@ -80,28 +95,28 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float =
     one_offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("_key"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = F.col("_before") + F.row_number().over(W.partitionBy("_key", "size", "_salt").orderBy("doc_id", "_tie"))
-    clash = [c for c in keyed.columns if c.lower() in {"source_size", "target", "_tie"}]
-    placed = keyed.drop(*clash).withColumn("_tie", F.xxhash64("text")).join(offsets, ["_key", "size", "_salt"]).withColumn("_rank", rank).withColumns({"_rate": rate, "_u": one_offset})
+    placed = keyed.join(offsets, ["_key", "size", "_salt"]).withColumn("_rank", rank).withColumns({"_rate": rate, "_u": one_offset})
     crossed = F.floor(F.col("_rank") * F.col("_rate") + F.col("_u")) - F.floor((F.col("_rank") - 1) * F.col("_rate") + F.col("_u"))
-    out = placed.withColumn("copies", crossed.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("_key", "_salt", "_tie", "_rank", "_rate", "_u", "_before")
+    return placed.withColumn("copies", crossed.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
+def emit(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, salts: int = SALTS, seed: str = SEED) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as it was drawn."""
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
-    return mix(docs, **options).filter("copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], copies).drop("_copy")
+    packed, out = tucked(docs, "doc_id", "text", "source")
+    drawn = _placed(packed, weights, budget, most, salts, seed).filter("copies > 0")
+    return out(drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return _placed(docs, WEIGHTS, BUDGET, MOST, SALTS, SEED, texts=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k
+         CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 8))::BIGINT % 1024 AS salt
   FROM documents),
 s AS (SELECT k, sum(size)::BIGINT AS w, row_number() OVER (ORDER BY k) - 1 AS no FROM d GROUP BY k),
 c AS (
@@ -120,7 +135,7 @@ t AS (
 r AS (
   SELECT d.doc_id, d.size, t.w, t.target, CASE WHEN t.w > 0 THEN t.target / t.w ELSE 0 END AS rate,
          ('0x' || substr(md5('mix-17' || d.k), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u,
-         row_number() OVER (PARTITION BY d.k ORDER BY d.size, ((coalesce(d.doc_id, 0) % 1024) + 1024) % 1024, d.doc_id) AS rank
+         row_number() OVER (PARTITION BY d.k ORDER BY d.size, d.salt, d.doc_id) AS rank
   FROM d JOIN t ON d.k = t.k)
 SELECT doc_id, size, w AS source_size, target,
        (floor(rank * rate + u) - floor((rank - 1) * rate + u))::BIGINT * size AS taken
