@@ -4,29 +4,36 @@ Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept
 and returns a DataFrame; all but the last return the columns of ``documents``.
 The stages see whole texts and carry whole rows.  No stage is SQL as a whole
 (compression, fingerprint components, BPE), so that ORACLE_SQL is None; the
-tests hold each stage against a brute-force version.
+tests hold each stage, on its own input, against a brute-force version.
+
+Defined results: what each operator's docstring says of nulls, empty and long
+texts and ties holds for its stage; of rows that repeat an id and a text one
+stays after exact dedup; a null id is kept like any other; an empty table passes
+every stage empty; columns beside doc_id, text and source pass through untouched,
+whatever their names; the last stage returns doc_id and what encoding makes.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe_codec, exact_dedup, mixing, quality_rules, simhash
-from weftgraph.llm._common import documents, materialize
+from weftgraph.llm._common import documents, materialize, tucked
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+def _kept(docs: DataFrame, decide) -> DataFrame:
+    """The rows of ``docs`` that an operator keeps, its columns out of the way of what the operator adds."""
+    packed, out = tucked(docs, "doc_id", "text")
+    return out(decide(packed).filter("kept"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(docs).filter("kept").select(*_columns(docs))
+    return _kept(docs, quality_rules.quality_rules)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(docs).filter("kept").select(*_columns(docs))
+    return _kept(docs, exact_dedup.exact_dedup)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
