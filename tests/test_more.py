@@ -57,9 +57,23 @@ def test_metrics(spark):
 
 def test_questions(spark):
     assert {f for _, _, f, _ in benchgen.TEMPLATES} and len(benchgen.TEMPLATES) == 33
-    symbols = spark.createDataFrame([("A.get_node", "get_node"), ("get_nodes", "get_nodes"), ("B.set_node", "set_node"), ("box", "box"), ("boxes", "boxes"), ("far", "far_away")], "id string, label string")
-    got = {(r["id"], r["other"]) for r in benchgen.near_identical(symbols).collect()}
-    assert got == {("A.get_node", "get_nodes"), ("get_nodes", "A.get_node"), ("A.get_node", "B.set_node"), ("B.set_node", "A.get_node"), ("box", "boxes"), ("boxes", "box")}
+    symbols = spark.createDataFrame([("A.get_node", "get_node"), ("C.get_node", "get_node"), ("get_nodes", "get_nodes"), ("B.set_node", "set_node"), ("box", "box"), ("boxes", "boxes"), ("far", "far_away")], "id string, label string")
+    got = {r["id"]: (r["n_same"], r["others"]) for r in benchgen.near_identical(symbols).collect()}
+    assert got == {"A.get_node": (1, "get_nodes,set_node"), "C.get_node": (1, "get_nodes,set_node"), "get_nodes": (0, "get_node"), "B.set_node": (0, "get_node"), "box": (0, "boxes"), "boxes": (0, "box")}
+    twins = {r["id"]: r["twin"] for r in benchgen._twins(symbols).collect()}
+    assert twins == {"A.get_node": "B.set_node", "C.get_node": "A.get_node", "get_nodes": "A.get_node", "B.set_node": "A.get_node", "box": "boxes", "boxes": "box"}
+
+
+def test_question_rules(spark):
+    symbols = spark.createDataFrame([("Cart.total", "total"), ("Order", "Order"), ("order_lines", "order_lines"), ("ship", "ship")], "id string, label string")
+    asked = [("ship", "How is ship handled here?"), ("ship", "Where is ship?"), ("ship", "How is ship"), ("ship", "How  is ship?"), ("none", "How is none made?"), ("ship", "What is the?"), ("Order", "What is order?"), ("Order", "What build order xyz?"), ("ship", "How util ship?")]
+    importance = spark.createDataFrame([("ship", 0.5)], "id string, importance double")
+    got = {r["question"]: (r["quality_score"], r["generation_reason"].split(" (")[0]) for r in benchgen.scored(spark.createDataFrame(asked, "id string, question string"), symbols, importance).collect()}
+    assert got == {
+        "How is ship handled here?": (0.7, "Accepted: Importance=0.50, Clarity=1.00"), "Where is ship?": (0.0, "Rejection: Question must start with 'How' or 'What'"), "How is ship": (0.0, "Rejection: Question must end with '?'"),
+        "How  is ship?": (0.0, "Rejection: Question contains double spaces"), "How is none made?": (0.0, "Rejection: Expected node 'none' not found in public nodes"), "What is the?": (0.0, "Rejection: Question has no meaningful keywords"),
+        "What is order?": (0.0, "Rejection: Ambiguous wording"), "What build order xyz?": (0.0, "Rejection: Uses generic verb 'build' with ambiguous noun context"), "How util ship?": (0.5, "Accepted: Importance=0.50, Clarity=0.50"),
+    }
 
 
 def test_providers(spark):
@@ -89,3 +103,16 @@ def test_providers(spark):
     assert got == {1: ("no_context", answer.NO_CONTEXT), 2: ("done", "ok"), 3: ("pending", None)}
     assert {r["status"] for r in answer.answered(asked).collect()} == {"no_context", "done"}
     assert answer.policy(["retrieval", "loading"])[0] == "merged(retrieval+loading)" and answer.policy(["visualization"])[0] == "default"
+
+
+@pytest.mark.parametrize("other", ["routing", "statistics", "parsing", "configuration", "unknown"])
+def test_policy_of_pairs_with_visualization(spark, other):
+    """An intent without a policy brings the default one into a merge."""
+    from weftgraph import vocab
+
+    for intents in (["visualization", other], [other, "visualization"]):
+        names = [i if i in vocab.HOPS else "default" for i in intents]
+        want = {r: max(vocab.HOPS[n][k] for n in names) for k, r in enumerate(vocab.RELATIONSHIPS)}
+        row = answer.policies(spark.createDataFrame([(intents,)], "intents array<string>")).first()
+        assert row["policy"] == f"merged({names[0]}+{names[1]})" and {r: row[f"hops_{r}"] for r in want} == want
+        assert answer.policy(intents) == (row["policy"], want)

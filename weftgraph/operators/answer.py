@@ -8,13 +8,14 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..storage import cut
 from . import resolve, traverse
-from .views import around, place
+from .contexts import node_blocks
+from .views import place
 
 RULE = "─" * 60
 NO_CONTEXT = "No relevant code was found for this question."
@@ -32,17 +33,15 @@ class ProviderError(AnswerError):
 
 
 def policy(intents: list[str]) -> tuple[str, dict[str, int]]:
-    """(name, hop budgets) of detected intents: the greatest budget of each relationship."""
-    named = [i for i in intents if i in vocab.HOPS and i != "default"]
-    chosen = named or ["default"]
+    """(name, hop budgets) of detected intents: the greatest budget of each relationship; an intent without a policy has the default one."""
+    chosen = [i if i in vocab.HOPS else "default" for i in intents] or ["default"]
     hops = [max(h) for h in zip(*[vocab.HOPS[n] for n in chosen], strict=True)]
     return (chosen[0] if len(chosen) == 1 else f"merged({'+'.join(chosen)})"), dict(zip(vocab.RELATIONSHIPS, hops, strict=True))
 
 
 def policies(asked: DataFrame) -> DataFrame:
     """``asked`` (intents, ...) plus policy and a budget column for each relationship, as column expressions."""
-    names = [n for n in vocab.HOPS if n != "default"]
-    known = F.filter("intents", lambda i: i.isin(*names))
+    known = F.transform("intents", lambda i: F.when(i.isin(*vocab.HOPS), i).otherwise("default"))
     chosen = F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("default")))
     name = F.when(F.size(chosen) == 1, F.get(chosen, F.lit(0))).otherwise(F.concat(F.lit("merged("), F.array_join(chosen, "+"), F.lit(")")))
     budgets = {}
@@ -52,33 +51,13 @@ def policies(asked: DataFrame) -> DataFrame:
     return asked.withColumns({"policy": name} | budgets)
 
 
-def node_blocks(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, most: int = 20) -> DataFrame:
-    """(id, block): a text about each wanted node (id) with its relations in edge order."""
-    facts = nodes.join(wanted.select("id").distinct(), "id", "left_semi")
-    some = lambda text, c: F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.concat(F.lit(text), c.cast("string")))
-    head = F.array(
-        F.concat(F.lit("=== "), F.upper("type"), F.lit(": "), "label", F.lit(" ===")), F.concat(F.lit("ID: "), "id"), some("File: ", F.col("file_path")),
-        F.when(F.col("line_number") > 0, some("Line: ", F.col("line_number"))), some("Docstring: ", F.substring_index("docstring", "\n", 1)),
-    )
-    rel = around(edges, facts)
-    line = F.when(F.col("out") == 1, F.concat(F.lit("  --["), "relationship", F.lit("]--> "), "other")).otherwise(F.concat(F.lit("  <--["), "relationship", F.lit("]-- "), "other"))
-    groups = rel.groupBy("id", "out", "relationship").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("ls"))
-    groups = groups.select("id", "out", "relationship", F.transform(F.slice("ls", 1, most), lambda x: x["line"]).alias("ls"))
-    sides = groups.groupBy("id").agg(*[
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("out") == o, F.struct("relationship", "ls")))), lambda x: x["ls"])).alias(n) for n, o in (("outgoing", 1), ("incoming", 0))
-    ])
-    part = lambda title, c: F.when(F.size(c) > 0, F.concat(F.array(F.lit(f"\n{title} relationships:")), F.col(c))).otherwise(F.array().cast("array<string>"))
-    lines = F.concat(F.filter(head, lambda x: x.isNotNull()), part("Outgoing", "outgoing"), part("Incoming", "incoming"))
-    return facts.join(sides, "id", "left").select("id", F.array_join(lines, "\n").alias("block"))
-
-
 def packages(nodes: DataFrame, edges: DataFrame, questions: DataFrame, k: int = 5, hops: int = 1) -> DataFrame:
     """One row a question: intents, keywords, policy, number of resolved nodes, subgraph size, and the context text.
 
     Questions are expanded together, each as a group of its own with the budgets
     of its policy, so that the number of joins doesn't grow with the questions.
     """
-    asked = policies(resolve.understood(questions))
+    asked = cut(policies(resolve.understood(questions)))
     ranked = cut(resolve.rank(nodes, edges, questions, k))
     budget = [x for r in vocab.RELATIONSHIPS for x in (F.lit(r), F.col(f"hops_{r}") if hops == 1 else F.least(F.col(f"hops_{r}") * hops, F.lit(3)))]
     seeds = ranked.join(asked.select("question_id", "policy", F.create_map(*budget).alias("limits")), "question_id").select(F.col("question_id").alias("grp"), "id", "policy", "limits")
@@ -90,10 +69,14 @@ def packages(nodes: DataFrame, edges: DataFrame, questions: DataFrame, k: int =
     by_rel = inner.groupBy("grp", F.upper("relationship").alias("rel")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(place(0).alias("place"), arrow.alias("line")))).alias("ls"))
     text = F.concat(F.lit("\n  ["), "rel", F.lit("]  ("), F.col("n").cast("string"), F.lit(" edges)\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
     parts = by_rel.groupBy("grp").agg(F.sum("n").alias("edge_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rel", text.alias("t")))), lambda x: x["t"]), "\n").alias("edges_text"))
-    sizes = found.groupBy("grp").agg(F.count("*").alias("node_count"))
-    about = ranked.join(node_blocks(nodes, edges, ranked), "id")
-    score = F.concat(F.lit("  [score: "), F.format_number("score", 2), F.lit("  |  "), "reason", F.lit("]\n"))
-    blocks = about.groupBy("question_id").agg(F.count("*").alias("resolved"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws("\n", "block", score).alias("t")))), lambda x: x["t"]), "\n").alias("nodes_text"))
+    kinds = found.join(nodes.select("id", "type"), "id").groupBy("grp", "type").agg(F.count("*").alias("n"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("type", "n"))), lambda x: F.concat(x["type"], F.lit("="), x["n"].cast("string")))
+    sizes = kinds.groupBy("grp").agg(F.sum("n").alias("node_count"), F.array_join(listed, ",").alias("nodes_by_type"))
+    labels = nodes.select("id", "label", "file_path", "line_number")
+    about = ranked.join(node_blocks(nodes, edges, ranked), "id").join(labels, "id")
+    score = F.concat(F.lit("  [score: "), F.format_string("%.2f", "score"), F.lit("  |  "), "reason", F.lit("]\n"))
+    source = F.struct("rank", F.struct("id", "type", "label", "score", "file_path", "line_number").alias("s"))
+    blocks = about.groupBy("question_id").agg(F.count("*").alias("resolved"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws("\n", "block", score).alias("t")))), lambda x: x["t"]), "\n").alias("nodes_text"), F.transform(F.array_sort(F.collect_list(source)), lambda x: x["s"]).alias("sources"))  # at most k rows a question
     rows = asked.join(blocks, "question_id", "left").join(parts.withColumnRenamed("grp", "question_id"), "question_id", "left").join(sizes.withColumnRenamed("grp", "question_id"), "question_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     lines = [
@@ -101,7 +84,9 @@ def packages(nodes: DataFrame, edges: DataFrame, questions: DataFrame, k: int =
         F.lit(RULE), F.concat(F.lit("RESOLVED NODES  ("), zero("resolved").cast("string"), F.lit(" nodes)")), F.lit(RULE), F.coalesce("nodes_text", F.lit("")),
         F.lit(RULE), F.concat(F.lit("SUBGRAPH  ("), zero("node_count").cast("string"), F.lit(" nodes, "), zero("edge_count").cast("string"), F.lit(" edges)")), F.lit(RULE), F.coalesce("edges_text", F.lit("  (no edges in expanded subgraph)")),
     ]
-    return rows.select("question_id", "question", "intents", "keywords", "policy", zero("resolved").alias("resolved"), zero("node_count").alias("node_count"), zero("edge_count").alias("edge_count"), F.concat_ws("\n", *lines).alias("context"))
+    counts = [zero(c).alias(c) for c in ("resolved", "node_count", "edge_count")]
+    effective = [F.lit(k).cast("int").alias("top_k"), F.lit(hops).cast("int").alias("max_hops")]
+    return rows.select("question_id", "question", "intents", "keywords", "policy", *counts, F.coalesce("nodes_by_type", F.lit("")).alias("nodes_by_type"), *effective, "sources", F.concat_ws("\n", *lines).alias("context"))
 
 
 def prompts(packed: DataFrame, system: str | None = None) -> DataFrame:
@@ -172,22 +157,44 @@ def answered(asked: DataFrame, provider: Callable[[], Callable[[str, str], str]]
     return asked.mapInPandas(run, schema)
 
 
-def remaining(dataset: DataFrame, store: DataFrame, tries: int = 3) -> DataFrame:
-    """Questions of ``dataset`` that ``store`` (repository, question, status, attempts) has not done or given up."""
-    over = store.filter((F.col("status") == "done") | ((F.col("status") == "failed") & (F.col("attempts") >= tries)))
-    return dataset.join(over.select("repository", "question"), ["repository", "question"], "left_anti")
+class Engine:
+    """Answers questions about a graph: ``builder`` makes the packages, ``prompt`` the prompts, ``provider`` the answers; each can be exchanged.
+
+    ``builder`` is any object with build(questions, k, hops) that gives the
+    columns of packages(); ``prompt`` takes packages and adds system_prompt and
+    user_prompt; ``provider`` is as in answered().
+    """
+
+    def __init__(self, builder, provider: Callable[[], Callable[[str, str], str]] | None = None, prompt: Callable[[DataFrame], DataFrame] = prompts):
+        self.builder, self.provider, self.prompt = builder, provider, prompt
+
+    def answers(self, questions: DataFrame, k: int | None = None, hops: int | None = None) -> DataFrame:
+        """One row a question (question_id, question): its package, prompts, answer, status and error. Blank questions fail."""
+        blank = F.trim(F.coalesce("question", F.lit(""))) == ""
+        asked = answered(self.prompt(self.builder.build(questions.filter(~blank), k, hops)), self.provider)
+        failed = questions.filter(blank).select("question_id", "question", F.lit("failed").alias("status"), F.lit("a question must not be blank").alias("error"))
+        return asked.unionByName(failed, allowMissingColumns=True)
+
+    def answer(self, question: str, k: int | None = None, hops: int | None = None) -> dict:
+        """The row of one question; ValueError if it is blank, ProviderError if the provider fails or says nothing."""
+        if not question or not question.strip():
+            raise ValueError("a question must not be blank")
+        spark = SparkSession.active()
+        row = self.answers(spark.createDataFrame([(1, question)], "question_id long, question string"), k, hops).first().asDict(recursive=True)
+        if row["status"] in ("failed", "pending"):
+            raise ProviderError(f"no answer for {question!r}: {row['error']}")
+        return row
+
+
+class Builder:
+    """Packages over one graph with defaults for k and hops."""
 
+    def __init__(self, nodes: DataFrame, edges: DataFrame, k: int = 5, hops: int = 1):
+        self.nodes, self.edges, self.k, self.hops = nodes, edges, k, hops
 
-def upserted(store: DataFrame, news: DataFrame) -> DataFrame:
-    """The store with rows of ``news`` in place of those of the same (repository, question); attempts add up."""
-    keys = ["repository", "question"]
-    before = store.select(*keys, F.col("attempts").alias("_before"))
-    fresh = news.join(before, keys, "left").withColumn("attempts", F.coalesce("_before", F.lit(0)) + 1).drop("_before")
-    return store.join(news.select(*keys), keys, "left_anti").unionByName(fresh.select(*store.columns))
+    def build(self, questions: DataFrame, k: int | None = None, hops: int | None = None) -> DataFrame:
+        return packages(self.nodes, self.edges, questions, self.k if k is None else k, self.hops if hops is None else hops)
 
 
-def collected(dataset: DataFrame, answers: DataFrame, judgments: DataFrame) -> DataFrame:
-    """Questions with their answers and done judgments; incomplete where there is none."""
-    keys = ["repository", "question"]
-    done = judgments.filter("status = 'done'").drop("status")
-    return dataset.join(answers.select(*keys, "answer"), keys, "left").join(done, keys, "left").withColumn("complete", F.col("overall").isNotNull())
+def engine(nodes: DataFrame, edges: DataFrame, provider: Callable[[], Callable[[str, str], str]] | None = None, k: int = 5, hops: int = 1, system: str | None = None) -> Engine:
+    return Engine(Builder(nodes, edges, k, hops), provider, lambda packed: prompts(packed, system))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import category, nearly_same, question_keywords, uuid5, verb_noun
+from .search import containing, matching
 from .views import is_public
 
 # Kind | condition | family | question. {n} noun, {v} verb, {l} label.
@@ -76,49 +77,85 @@ def generated(symbols: DataFrame) -> DataFrame:
     return symbols.select("id", "label", "category", rows).select("id", "label", "category", "c.*")
 
 
-def near_identical(symbols: DataFrame) -> DataFrame:
-    """(id, other): pairs of symbols whose names differ by case, a plural ending or one edit.
+def _last_name(symbols: DataFrame) -> DataFrame:
+    return symbols.select("id", F.lower(F.element_at(F.split("label", r"\."), -1)).alias("name"))
+
+
+def near_names(symbols: DataFrame) -> DataFrame:
+    """(name, other): pairs of different names that are alike but for a plural ending or one edit.
 
     Such names have the same letters but for one gap or change, and so share one
     of their variants with a letter left out; candidates meet there by an
     equi-join, not a cross join.  Names with one variant in common are verified.
     """
-    last = F.lower(F.element_at(F.split("label", r"\."), -1))
-    names = symbols.select("id", last.alias("name"))
-    distinct = names.select("name").distinct()
+    distinct = _last_name(symbols).select("name").distinct()
     n = F.length("name")
     left_out = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(F.col("name"), F.lit(1), i - 1), F.substring(F.col("name"), i + 1, n)))
     short = F.filter(F.array(F.when(F.col("name").endswith("es"), F.substring(F.col("name"), F.lit(1), n - 2)), F.col("name")), lambda x: x.isNotNull())
     keys = distinct.select("name", F.explode(F.array_distinct(F.concat(left_out, short))).alias("key"))
     other = keys.withColumnRenamed("name", "other")
-    pairs = keys.join(other, "key").filter(nearly_same(F.col("name"), F.col("other"))).select("name", "other").distinct()
-    both = pairs.join(names, "name").join(names.select(F.col("id").alias("other_id"), F.col("name").alias("other")), "other")
-    return both.filter("id <> other_id").select("id", F.col("other_id").alias("other"))
+    return keys.join(other, "key").filter((F.col("name") != F.col("other")) & nearly_same(F.col("name"), F.col("other"))).select("name", "other").distinct()
+
+
+def near_identical(symbols: DataFrame) -> DataFrame:
+    """(id, name, n_same, others): symbols whose name another symbol has as well (n_same of them) or nearly has (the names, sorted).
+
+    Pairs are of names, with membership; ids of one name are counted, not paired.
+    """
+    names = _last_name(symbols)
+    count = names.groupBy("name").agg((F.count("*") - 1).alias("n_same"))
+    alike = near_names(symbols).groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("other")), ",").alias("others"))  # as many as a name has one-letter variants in use
+    return names.join(count, "name").join(alike, "name", "left").filter("n_same > 0 OR others IS NOT NULL").select("id", "name", "n_same", F.coalesce("others", F.lit("")).alias("others"))
+
+
+def _twins(symbols: DataFrame) -> DataFrame:
+    """(id, twin): of the symbols with an equal or nearly equal name, the least id other than its own."""
+    names = _last_name(symbols)
+    two = names.groupBy("name").agg(F.min("id").alias("first"))
+    second = names.join(two.select("name", "first"), "name").filter("id <> first").groupBy("name").agg(F.min("id").alias("second"))
+    near = near_names(symbols).join(two.select(F.col("name").alias("other"), F.col("first").alias("near")), "other").groupBy("name").agg(F.min("near").alias("near"))
+    rows = names.join(two.select("name", "first"), "name").join(second, "name", "left").join(near, "name", "left")
+    same = F.when(F.col("id") != F.col("first"), F.col("first")).otherwise(F.col("second"))
+    return rows.withColumn("twin", F.least(same, "near")).filter("twin IS NOT NULL").select("id", "twin")
+
+
+# Second words of a question that say little, and words that make it vague.
+GENERIC_VERBS = ("build", "process", "handle", "execute", "run")
+VAGUE = ("helper", "util", "temp", "tmp", "dummy")
 
 
 def scored(candidates: DataFrame, symbols: DataFrame, importance: DataFrame) -> DataFrame:
     """``candidates`` plus quality_score and generation_reason: the first rule that rejects, or the score."""
-    twins = near_identical(symbols).groupBy("id").agg(F.min("other").alias("twin"))
     asked = candidates.withColumn("keywords", question_keywords("question"))
-    # of the symbols that hold all keywords; any one keyword finds candidates, the rarest part of a name being enough
-    texts = symbols.select(F.col("id").alias("hit"), F.lower(F.concat_ws(" ", "id", "label")).alias("text"))
-    sets = asked.select("keywords").distinct().filter(F.size("keywords") > 0)
-    hits = texts.join(F.broadcast(sets), F.forall("keywords", lambda k: F.col("text").contains(k))).groupBy("keywords").agg(F.count("*").alias("hits"))
-    rows = asked.join(twins, "id", "left").join(hits, "keywords", "left").join(importance, "id", "left")
+    verb = F.coalesce(F.get(F.split(F.lower("question"), r"\s+"), F.lit(1)), F.lit(""))
+    asked = asked.withColumn("verb", F.when(verb.isin(*GENERIC_VERBS), verb)).withColumn("nouns", F.when(F.col("verb").isNotNull(), F.array_remove("keywords", F.col("verb"))))
+    texts = symbols.select("id", F.lower(F.concat_ws(" ", "id", "label")).alias("text"))
+    hits = matching(asked.select("keywords").distinct().filter(F.size("keywords") > 0), texts)
+    nouns = asked.filter("nouns IS NOT NULL").select("nouns").distinct()
+    ids = symbols.select("id", F.lower("id").alias("text"))
+    met = containing(nouns.select(F.explode("nouns").alias("keyword")).distinct(), ids)
+    among = nouns.select("nouns", F.explode("nouns").alias("keyword")).join(met, "keyword").groupBy("nouns").agg(F.count_distinct("id").alias("similar"))
+    rows = asked.join(_twins(symbols), "id", "left").join(hits, "keywords", "left").join(among, "nouns", "left").join(importance, "id", "left").join(symbols.select("id", F.lit(True).alias("known")).distinct(), "id", "left")
     low = F.lower("question")
-    words = F.size(F.split("question", " "))
-    vague = reduce(Column.__or__, [low.contains(w) for w in ("helper", "util", "temp", "tmp", "dummy")])
+    words = F.size(F.filter(F.split("question", r"\s+"), lambda w: w != ""))
+    vague = reduce(Column.__or__, [low.contains(w) for w in VAGUE])
     clarity = F.lit(1.0) - F.when(vague, 0.3).otherwise(0.0) - F.when((words < 4) | (words > 10), 0.2).otherwise(0.0)
-    worth = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * F.coalesce("importance", F.lit(0.0)) + 0.4 * clarity)), 4)
+    worth = F.coalesce("importance", F.lit(0.0))
+    score = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * worth + 0.4 * clarity)), 4)
+    others = F.array_join(F.slice(F.array_remove("ids", F.col("id")), 1, 3), ", ")
+    # The reasons, in the order of the rules.
     reason = (
-        F.when(~(F.col("question").startswith("How ") | F.col("question").startswith("What ")), "rejected: prefix")
-        .when(~F.col("question").endswith("?"), "rejected: no question mark")
-        .when(F.col("question").contains("  "), "rejected: double space")
-        .when(F.col("twin").isNotNull(), "rejected: nearly identical name")
-        .when(F.size("keywords") == 0, "rejected: no keywords")
-        .when(F.coalesce("hits", F.lit(0)) > 1, "rejected: matches other symbols")
+        F.when(~(F.col("question").startswith("How ") | F.col("question").startswith("What ")), "Rejection: Question must start with 'How' or 'What'")
+        .when(~F.col("question").endswith("?"), "Rejection: Question must end with '?'")
+        .when(F.col("question").contains("  "), "Rejection: Question contains double spaces")
+        .when(F.col("known").isNull(), F.concat(F.lit("Rejection: Expected node '"), "id", F.lit("' not found in public nodes")))
+        .when(F.col("twin").isNotNull(), F.concat(F.lit("Rejection: Ambiguous symbol naming (nearly identical to "), "twin", F.lit(")")))
+        .when(F.size("keywords") == 0, "Rejection: Question has no meaningful keywords")
+        .when(F.coalesce("n", F.lit(0)) > 1, F.concat(F.lit("Rejection: Ambiguous wording (matches other public symbols: "), others, F.lit(")")))
+        .when(F.coalesce("similar", F.lit(0)) > 1, F.concat(F.lit("Rejection: Uses generic verb '"), "verb", F.lit("' with ambiguous noun context")))
     )
-    return rows.withColumn("quality_score", F.when(reason.isNotNull(), 0.0).otherwise(worth)).withColumn("generation_reason", F.coalesce(reason, F.lit("accepted"))).drop("keywords", "hits", "importance", "twin")
+    accepted = F.format_string("Accepted: Importance=%.2f, Clarity=%.2f", worth, clarity)
+    return rows.withColumn("quality_score", F.when(reason.isNotNull(), 0.0).otherwise(score)).withColumn("generation_reason", F.coalesce(reason, accepted)).select(*candidates.columns, "quality_score", "generation_reason")
 
 
 def balanced(candidates: DataFrame, total: int = 100) -> DataFrame:
@@ -133,14 +170,3 @@ def balanced(candidates: DataFrame, total: int = 100) -> DataFrame:
 
 def identified(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("question_id", uuid5(F.concat_ws(":", "repository", "id", "question")))
-
-
-def reviewed(candidates: DataFrame, threshold: float = 0.4, version: str = "v2_curated", decisions: DataFrame | None = None) -> DataFrame:
-    """Accepted where the score reaches the threshold, or as ``decisions`` (question_id, action, question) say."""
-    out = candidates
-    if decisions is not None:
-        out = out.join(decisions.select("question_id", "action", F.col("question").alias("edited")), "question_id", "left").withColumn("question", F.coalesce("edited", "question")).drop("edited")
-    else:
-        out = out.withColumn("action", F.lit(None).cast("string"))
-    status = F.when(F.col("action") == "reject", "rejected").when(F.col("action").isin("accept", "edit") | (F.col("quality_score") >= threshold), "accepted").otherwise("pending")
-    return out.withColumn("review_status", status).withColumn("benchmark_version", F.when(status == "accepted", version)).drop("action")

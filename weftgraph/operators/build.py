@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.text import module_origin
+from ..storage import cut
 from .parse import symbols
 
 EXCLUDED = (*vocab.BUILTIN_SYMBOLS, *vocab.FRAMEWORK_SYMBOLS)
@@ -72,5 +73,10 @@ def build_graph(parsed: DataFrame, internal: tuple[str, ...] = ()) -> tuple[Data
 
 
 def numbered(edges: DataFrame) -> DataFrame:
-    """Edges with their place in the list, for output: a global sort."""
-    return edges.withColumn("pos", F.row_number().over(W.orderBy("source", "target", "relationship", F.coalesce("decorator_name", F.lit("")))))
+    """Edges with their place in the list, for output: sorted by ranges, each range numbered by itself after the sizes of those before."""
+    order = ("source", "target", "relationship", "_decorator")
+    ranged = cut(edges.withColumn("_decorator", F.coalesce("decorator_name", F.lit(""))).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_own", own).join(before, "_range").withColumn("pos", (F.col("_own") + F.col("_before")).cast("long")).drop("_range", "_own", "_before", "_decorator")

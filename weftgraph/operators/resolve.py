@@ -1,8 +1,8 @@
 """Ranking graph nodes for natural-language questions, a batch of questions at a time.
 
-Questions and vocabulary are small and are broadcast; nodes are scanned once.
-Every signal is a column; a node is a candidate for a question only if one of
-the question's keywords is in its label or id.
+A node is a candidate for a question only if one of the question's keywords is
+in its label or id; such pairs are found by an equi-join (search.py), whatever
+the number of questions.  Every signal is a column.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.text import camel_words, no_punctuation, snake_words, stem, words
 from ..schemas import CODE_TYPES
+from ..storage import cut
+from .search import containing
 from .views import degrees
 
 #: Switches of single rules, as they are set by default.
@@ -23,8 +25,6 @@ TOGGLES = {
     "dto_fixes": False, "private_penalties": True, "dunder_penalties": True, "generate_build": False, "resolution_resolve": True, "retrieval_synonyms": True,
     "symbol_candidate": True, "file_module_penalty": True, "visualization_penalty": True, "verb_lexicon_cleanup": True,
 }
-#: Questions to which one broadcast is held; more are ranked in as many calls.
-MOST_QUESTIONS = 100_000
 
 
 def _keep(array: Column) -> Column:
@@ -140,8 +140,12 @@ def signals(nodes: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
         .withColumn("label_low", F.lower("label")).withColumn("id_low", F.lower("id")).withColumn("snake", snake_words("label"))
         .withColumn("parts", F.array_distinct(F.concat("snake", camel_words("label"), F.array("label_low"))))
     )
-    met = F.exists("expanded", lambda k: F.col("label_low").contains(k) | F.col("id_low").contains(k))
-    rows = facts.join(F.broadcast(asked), met)  # rank() checks how many
+    asked = cut(asked)  # long expressions over few rows: worked out once
+    keys = [c for c in ("config", "question_id") if c in asked.columns]
+    each = asked.select(*keys, F.explode("expanded").alias("keyword"))
+    texts = facts.select("id", F.concat_ws("\n", "label_low", "id_low").alias("text"))
+    pairs = each.join(containing(each.select("keyword").distinct(), texts), "keyword").select(*keys, "id").distinct()
+    rows = pairs.join(asked, keys).join(facts, "id")
     hits = F.filter(F.transform("expanded", lambda k: F.struct(k.alias("k"), _hit(k).alias("p"))), lambda h: h["p"] > 0)
     rows = rows.withColumn("hits", hits).withColumn("base_hits", F.array_intersect(F.transform("hits", lambda h: h["k"]), "keywords"))
     intents, primary, kind = F.col("intents"), F.get("intents", F.lit(0)), F.col("type")
@@ -190,12 +194,7 @@ SIGNALS = (
 
 
 def rank(nodes: DataFrame, edges: DataFrame, questions: DataFrame, k: int = 10, toggles: dict[str, bool] | None = None) -> DataFrame:
-    """The k best nodes of each question (question_id, question): question_id, rank, id, type, score, reason.
-
-    The batch of questions is broadcast; it must not exceed MOST_QUESTIONS.
-    """
-    if questions.limit(MOST_QUESTIONS + 1).count() > MOST_QUESTIONS:
-        raise ValueError(f"more than {MOST_QUESTIONS} questions: rank them in batches")
+    """The k best nodes of each question (question_id, question): question_id, rank, id, type, score, reason."""
     scored = signals(nodes, edges, understood(questions, toggles))
     score = reduce(Column.__add__, [F.col(s) for s in SIGNALS]).cast("double")
     told = F.array_join(F.filter(F.array(*[F.when(F.col(s) != 0, F.format_string(f"{s} %+d", F.col(s))) for s in SIGNALS]), lambda x: x.isNotNull()), "; ")

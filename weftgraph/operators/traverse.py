@@ -61,7 +61,7 @@ def intent_reach(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, budgets:
     ids = nodes.select("id")
     used0 = F.create_map(*[F.lit(x) for r in relationships for x in (r, 0)])
     seen = started.select("grp", "id")
-    frontier = started.withColumn("ord", F.row_number().over(W.partitionBy("grp").orderBy("id"))).withColumn("used", used0)
+    frontier = started.withColumn("ord", F.struct("id")).withColumn("used", used0)  # places in the order of discovery are compared, never numbered
     burned: DataFrame | None = None
     for _ in range(levels):
         steps = frontier.join(both, "id").withColumn("d", F.element_at("used", F.col("relationship"))).filter(F.col("d") < F.element_at("limits", F.col("relationship")))
@@ -79,7 +79,7 @@ def intent_reach(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, budgets:
         there = steps.join(ids.withColumnRenamed("id", "other"), "other", "left_semi").select("grp", F.col("other").alias("id"), used.alias("used"), "limits", "ord", "side", "place", "relationship")
         there = there.withColumn("key", F.to_json("used"))  # maps can't be compared
         arrived = there.dropDuplicates(["grp", "id", "key"]) if not strict else there
-        arrived = cut(arrived.withColumn("ord", F.row_number().over(W.partitionBy("grp").orderBy("ord", "side", "relationship", "place", "id"))).select("grp", "id", "used", "limits", "ord"))
+        arrived = cut(arrived.select("grp", "id", "used", "limits", F.struct("ord", "side", "relationship", "place", "id").alias("ord")))
         seen = seen.unionByName(arrived.select("grp", "id")).distinct()
         frontier = arrived
     return seen
@@ -107,7 +107,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 30, damping: floa
         got = links.join(ranks.select(F.col("id").alias("source"), "pagerank"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("share") * F.col("pagerank")).alias("got"))
         new = F.lit((1.0 - damping) / count) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.lit(float(count)))
         ranks = base.join(got, "id", "left").crossJoin(F.broadcast(lost)).select("id", "out", new.alias("pagerank"))  # lost: one row
-        if k % CUT_EVERY == 0 and k < rounds:
+        if k % CUT_EVERY == 0 or k == rounds:
             ranks = cut(ranks)
     return ranks.select("id", "pagerank")
 
@@ -130,4 +130,4 @@ def importance_score(metrics: DataFrame) -> DataFrame:
     top = metrics.agg(*[F.max(c).alias(f"max_{c}") for c in ("degree", "reference_count", "pagerank")])
     part = lambda c: F.when(F.col(f"max_{c}") > 0, F.col(c) / F.col(f"max_{c}")).otherwise(0.0)
     score = 0.3 * part("degree") + 0.4 * part("reference_count") + 0.3 * part("pagerank")
-    return metrics.crossJoin(F.broadcast(top)).select("id", F.round(score, 4).alias("importance"))  # top: one row
+    return metrics.crossJoin(F.broadcast(top)).select("id", F.bround(score, 4).alias("importance"))  # top: one row

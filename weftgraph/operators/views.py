@@ -87,7 +87,8 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def subgraph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    n = nodes.agg(F.count("*").alias("node_count"))
+    kinds = F.transform(F.array_sort(F.collect_list(F.struct("type", "n"))), lambda x: F.concat(x["type"], F.lit("="), x["n"].cast("string")))
+    n = counts_by(nodes, "type", "n").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("node_count"), F.array_join(kinds, ",").alias("nodes_by_type"))  # few types
     e = edges.agg(F.count("*").alias("edge_count"), F.array_join(F.array_sort(F.collect_set("relationship")), ",").alias("edge_types"))
     return n.crossJoin(e)  # two single rows
 
@@ -115,32 +116,39 @@ def node_context(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFr
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Distinct nodes beside each seed."""
-    beside = around(edges, seeds).select("id", "other").filter("id <> other").distinct()
+    """Distinct nodes beside each seed; a loop makes it its own neighbour."""
+    beside = around(edges, seeds).select("id", "other").distinct()
     return beside.join(nodes.select(F.col("id").alias("other"), "type"), "other").select("id", "other", "type")
 
 
-#: field: (out, relationship, type of the other end or None)
+#: field: (out, relationship, type of the other end or None for any node)
 CLASS_FIELDS = {
-    "methods": (1, "contains", ("Method",)), "files": (0, "contains", ("File",)), "parents": (1, "inherits", ("Class",)), "children": (0, "inherits", ("Class",)),
-    "instantiates": (1, "instantiates", ("Class",)), "instantiated_by": (0, "instantiates", ("Function", "Method")),
+    "methods": (1, "contains", "Method"), "files": (0, "contains", "File"), "parents": (1, "inherits", None), "children": (0, "inherits", None),
+    "instantiates": (1, "instantiates", None), "instantiated_by": (0, "instantiates", None),
 }
 CALLABLE_FIELDS = {
-    "callers": (0, "calls", ("Function", "Method")), "callees": (1, "calls", ("Function", "Method")), "owning_class": (0, "contains", ("Class",)),
-    "overrides": (1, "overrides", ("Method",)), "overridden_by": (0, "overrides", ("Method",)),
+    "callers": (0, "calls", None), "callees": (1, "calls", None), "owning_class": (0, "contains", "Class"), "overrides": (1, "overrides", None), "overridden_by": (0, "overrides", None),
 }
 
 
+def context_lists(fields: dict, first: tuple[str, ...] = ()) -> list[Column]:
+    """Aggregates over around() with other_type: an array for each field, in edge order, and the decorators'; fields in ``first`` keep one."""
+    lists = []
+    for name, (out, relationship, kind) in fields.items():
+        hit = (F.col("out") == out) & (F.col("relationship") == relationship) & (F.col("other_type").isNotNull() if kind is None else F.col("other_type") == kind)
+        if name in first:
+            lists.append(F.filter(F.array(F.min_by("other", F.when(hit, F.col("place")))), lambda x: x.isNotNull()).alias(name))
+        else:
+            lists.append(F.transform(F.array_sort(F.collect_list(F.when(hit, F.struct("place", "other")))), lambda x: x["other"]).alias(name))
+    decorator = F.when((F.col("out") == 0) & (F.col("relationship") == "decorates"), F.struct("place", "other"))
+    return [*lists, F.transform(F.array_sort(F.collect_list(decorator)), lambda x: x["other"]).alias("decorators")]
+
+
 def typed_context(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, fields: dict, first: tuple[str, ...] = ()) -> DataFrame:
     """One row a seed and a joined list for each field; those in ``first`` keep the first by edge order."""
     rows = around(edges, seeds).join(nodes.select(F.col("id").alias("other"), F.col("type").alias("other_type")), "other", "left")
-    lists = []
-    for name, (out, relationship, types) in fields.items():
-        hit = (F.col("out") == out) & (F.col("relationship") == relationship) & F.col("other_type").isin(*types)
-        found = F.transform(F.array_sort(F.collect_list(F.when(hit, F.struct("place", "other")))), lambda x: x["other"])
-        lists.append(F.array_join(F.slice(found, 1, 1) if name in first else found, ",").alias(name))
-    lists.append(F.array_join(F.array_sort(F.collect_set(F.when((F.col("out") == 0) & (F.col("relationship") == "decorates"), F.coalesce("decorator_name", "other")))), ",").alias("decorators"))
-    return seeds.select("id").join(rows.groupBy("id").agg(*lists), "id", "left")
+    got = rows.groupBy("id").agg(*context_lists(fields, first))
+    return seeds.select("id").join(got.select("id", *[F.array_join(n, ",").alias(n) for n in (*fields, "decorators")]), "id", "left")
 
 
 def class_context(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 
 def graph(spark: SparkSession, sf_dir: str, keep: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the adapter; ``keep`` writes them to the shared folder first, for operators that read them again and again."""
+    """(nodes, edges) of the adapter; ``keep`` writes them to the shared folder first, for operators that read them more than once."""
     tables(spark, sf_dir)
     nodes, edges = spark.sql(NODES), spark.sql(EDGES)
     return (cut(nodes), cut(edges)) if keep else (nodes, edges)
@@ -88,4 +88,4 @@ def questions(spark: SparkSession) -> DataFrame:
 
 
 #: Prefix of every oracle statement over the graph.
-WITH_GRAPH = f"WITH nodes AS ({NODES}), edges AS ({EDGES})"
+WITH_GRAPH = f"WITH nodes AS MATERIALIZED ({NODES}), edges AS MATERIALIZED ({EDGES})"

@@ -73,12 +73,12 @@ degree AS (SELECT id, count(*) AS degree, min(place) AS place FROM ends GROUP BY
 
 @query("degrees", f"{G} SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id")
 def _(spark, d):
-    return views.degrees(adapter.graph(spark, d)[1]).select("id", "degree")
+    return views.degrees(adapter.graph(spark, d, keep=True)[1]).select("id", "degree")
 
 
 @query("graph_top_degree_by_type", f"{G} {_PLACES} SELECT type, rank, id, degree FROM (SELECT type, nodes.id, degree, row_number() OVER (PARTITION BY type ORDER BY degree DESC, place) AS rank FROM degree JOIN nodes ON degree.id = nodes.id) WHERE rank <= 10")
 def _(spark, d):
-    return views.top_by_type(*adapter.graph(spark, d))
+    return views.top_by_type(*adapter.graph(spark, d, keep=True))
 
 
 @query("hotspots", f"{G} {_PLACES} SELECT rank, id, degree FROM (SELECT id, degree, row_number() OVER (ORDER BY degree DESC, place) AS rank FROM degree) WHERE rank <= 10")
@@ -92,11 +92,11 @@ for _name, (_types, _rels) in views.VIEWS.items():
 
     @query(f"view_{_name}_edges", f"{_e} SELECT source, target, relationship, decorator_name FROM kept")
     def _(spark, d, name=_name):
-        return views.view(*adapter.graph(spark, d), name)[1]
+        return views.view(*adapter.graph(spark, d, keep=True), name)[1]
 
     @query(f"view_{_name}_nodes", f"{_e} SELECT id, type, label FROM allowed WHERE id IN (SELECT source FROM kept UNION SELECT target FROM kept)")
     def _(spark, d, name=_name):
-        return views.view(*adapter.graph(spark, d), name)[0].select("id", "type", "label")
+        return views.view(*adapter.graph(spark, d, keep=True), name)[0].select("id", "type", "label")
 
 
 @query("import_graph", f"{G} SELECT source AS source_file, target AS imported_module FROM edges WHERE relationship = 'imports'")
@@ -128,30 +128,30 @@ _AROUND = f""", seeds AS ({_SEEDS}), around AS (
 
 @query("node_context", f"{G} {_AROUND} SELECT id, CASE out WHEN 1 THEN 'outgoing' ELSE 'incoming' END AS direction, relationship, count(*) AS n, string_agg(other, ',' ORDER BY place) AS others FROM around GROUP BY id, out, relationship")
 def _(spark, d):
-    nodes, edges = adapter.graph(spark, d)
+    nodes, edges = adapter.graph(spark, d, keep=True)
     return views.node_context(nodes, edges, _seeds(nodes))
 
 
-@query("neighbours", f"{G} {_AROUND} SELECT DISTINCT around.id, other, type FROM around JOIN nodes ON nodes.id = other WHERE around.id <> other")
+@query("neighbours", f"{G} {_AROUND} SELECT DISTINCT around.id, other, type FROM around JOIN nodes ON nodes.id = other")
 def _(spark, d):
-    nodes, edges = adapter.graph(spark, d)
+    nodes, edges = adapter.graph(spark, d, keep=True)
     return views.neighbours(nodes, edges, _seeds(nodes))
 
 
 def _context_sql(seeds: str, fields: dict, first: tuple) -> str:
     cols = []
     for name, (out, rel, types) in fields.items():
-        hit = f"out = {out} AND relationship = '{rel}' AND type IN ({quoted(types)})"
+        hit = f"out = {out} AND relationship = '{rel}' AND " + (f"type = '{types}'" if types else "type IS NOT NULL")
         whole = f"coalesce(string_agg(other, ',' ORDER BY place) FILTER ({hit}), '')"
         cols.append(f"coalesce(min_by(other, place) FILTER ({hit}), '') AS {name}" if name in first else f"{whole} AS {name}")
-    cols.append("coalesce(string_agg(DISTINCT decorator_name, ',' ORDER BY decorator_name) FILTER (out = 0 AND relationship = 'decorates'), '') AS decorators")
+    cols.append("coalesce(string_agg(other, ',' ORDER BY place) FILTER (out = 0 AND relationship = 'decorates'), '') AS decorators")
     around = _AROUND.replace(_SEEDS, seeds)
     return f"{G} {around} SELECT around.id, {', '.join(cols)} FROM around LEFT JOIN nodes ON nodes.id = other GROUP BY around.id"
 
 
 @query("class_context", _context_sql(_SEEDS, views.CLASS_FIELDS, ("files",)))
 def _(spark, d):
-    nodes, edges = adapter.graph(spark, d)
+    nodes, edges = adapter.graph(spark, d, keep=True)
     return views.class_context(nodes, edges, _seeds(nodes))
 
 
@@ -160,13 +160,13 @@ _METHODS = "SELECT id FROM nodes WHERE type = 'Method' AND contains(label, 'pars
 
 @query("callable_context", _context_sql(_METHODS, views.CALLABLE_FIELDS, ("owning_class", "overrides")))
 def _(spark, d):
-    nodes, edges = adapter.graph(spark, d)
+    nodes, edges = adapter.graph(spark, d, keep=True)
     return views.callable_context(nodes, edges, views.label_search(nodes, "parse_token", "Method").select("id"))
 
 
 def _reach_sql(hops: int) -> str:
-    return f"""{G}, both_ways AS (SELECT source AS id, target AS other FROM edges UNION ALL SELECT target, source FROM edges), h0 AS ({_SEEDS})""" + "".join(
-        f", h{k} AS (SELECT id FROM h{k - 1} UNION SELECT id FROM nodes WHERE id IN (SELECT other FROM both_ways WHERE id IN (SELECT id FROM h{k - 1})))" for k in range(1, hops + 1)
+    return f"""{G}, both_ways AS (SELECT source AS id, target AS other FROM edges UNION ALL SELECT target, source FROM edges), h0 AS MATERIALIZED ({_SEEDS})""" + "".join(
+        f", h{k} AS MATERIALIZED (SELECT id FROM h{k - 1} UNION SELECT id FROM nodes WHERE id IN (SELECT other FROM both_ways WHERE id IN (SELECT id FROM h{k - 1})))" for k in range(1, hops + 1)
     )
 
 
@@ -184,7 +184,7 @@ def _(spark, d):
     return traverse.subgraph(nodes, edges, _seeds(nodes), 1)[1]
 
 
-@query("subgraph_summary", f"{_reach_sql(1)}, e1 AS (SELECT * FROM edges WHERE source IN (SELECT id FROM h1) AND target IN (SELECT id FROM h1)) SELECT (SELECT count(*) FROM h1) AS node_count, count(*) AS edge_count, string_agg(DISTINCT relationship, ',' ORDER BY relationship) AS edge_types FROM e1")
+@query("subgraph_summary", f"{_reach_sql(1)}, e1 AS (SELECT * FROM edges WHERE source IN (SELECT id FROM h1) AND target IN (SELECT id FROM h1)) SELECT (SELECT count(*) FROM h1) AS node_count, (SELECT string_agg(type || '=' || n, ',' ORDER BY type) FROM (SELECT type, count(*) AS n FROM nodes WHERE id IN (SELECT id FROM h1) GROUP BY type)) AS nodes_by_type, count(*) AS edge_count, string_agg(DISTINCT relationship, ',' ORDER BY relationship) AS edge_types FROM e1")
 def _(spark, d):
     nodes, edges = adapter.graph(spark, d, keep=True)
     return views.subgraph_summary(*traverse.subgraph(nodes, edges, _seeds(nodes), 1))
@@ -219,12 +219,10 @@ def _(spark, d):
     return traverse.importance_metrics(*adapter.graph(spark, d, keep=True)).withColumn("pagerank", F.round(F.col("pagerank") * 1000, 6))
 
 
-@query("importance_score", f"{_METRICS} SELECT id, round(0.3 * degree / max(degree) OVER () + 0.4 * reference_count / max(reference_count) OVER () + 0.3 * pagerank / max(pagerank) OVER (), 3) AS importance FROM metrics")
+@query("importance_score", f"{_METRICS} SELECT id, round_even(0.3 * degree / max(degree) OVER () + 0.4 * reference_count / max(reference_count) OVER () + 0.3 * pagerank / max(pagerank) OVER (), 4) AS importance FROM metrics")
 def _(spark, d):
-    m = traverse.importance_metrics(*adapter.graph(spark, d, keep=True))
-    top = m.agg(*[F.max(c).alias(f"m_{c}") for c in ("degree", "reference_count", "pagerank")])
-    score = 0.3 * F.col("degree") / F.col("m_degree") + 0.4 * F.col("reference_count") / F.col("m_reference_count") + 0.3 * F.col("pagerank") / F.col("m_pagerank")
-    return m.crossJoin(F.broadcast(top)).select("id", F.round(score, 3).alias("importance"))
+    scores = traverse.importance_score(traverse.importance_metrics(*adapter.graph(spark, d, keep=True)))
+    return scores.select("id", "importance")
 
 
 @query("public_symbols", f"""{G} SELECT id FROM nodes WHERE type IN ('Class', 'Function', 'Method') AND NOT starts_with(label, '_') AND NOT contains(lower(coalesce(docstring, '')), 'deprecated')
@@ -236,7 +234,7 @@ def _(spark, d):
 
 @query("styled_nodes", f"{G} {_PLACES} SELECT nodes.id, label, type, CASE type WHEN 'File' THEN '#4A90D9' WHEN 'Module' THEN '#7ED321' WHEN 'Class' THEN '#F5A623' WHEN 'Function' THEN '#9B59B6' ELSE '#E74C3C' END AS colour, 300 + 60 * coalesce(degree, 0) AS size FROM nodes LEFT JOIN degree ON degree.id = nodes.id")
 def _(spark, d):
-    return views.styled(*adapter.graph(spark, d))
+    return views.styled(*adapter.graph(spark, d, keep=True))
 
 
 # -- text

@@ -9,6 +9,7 @@ from .. import vocab
 from ..functions import text as T
 from ..operators import answer, benchgen, evaluate, resolve, traverse
 from ..sources import repo_files
+from ..storage import cut
 from . import adapter
 from .queries import _CAMEL, _CATEGORY_SQL, _INTENT, _METRICS, _VERBS, G, query, quoted, values
 
@@ -84,7 +85,7 @@ def _(spark, d):
     return m.select("user_id", "repository", F.col("first_hit_rank").cast("long").alias("first_hit_rank"), "top_1", "top_3", "top_5", *rounded)
 
 
-_AVG = ", ".join(f"round(avg({m}::DOUBLE), 4) AS {m}" for m in (*[f"{x}_{n}" for n in evaluate.CUTS for x in ("recall", "precision")], "mrr")) + ", " + ", ".join(f"round(avg(top_{n}::INT), 4) AS top_{n}" for n in evaluate.CUTS)
+_AVG = ", ".join(f"round_even(avg({m}::DOUBLE), 4) AS {m}" for m in (*[f"{x}_{n}" for n in evaluate.CUTS for x in ("recall", "precision")], "mrr")) + ", " + ", ".join(f"round_even(avg(top_{n}::INT), 4) AS top_{n}" for n in evaluate.CUTS)
 _AVERAGES = f"{_IR}, a AS (SELECT CASE WHEN grouping(repository) = 1 THEN 'ALL' ELSE repository END AS repository, count(*) AS questions, {_AVG} FROM ir GROUP BY ROLLUP (repository))"
 
 
@@ -93,10 +94,10 @@ def _(spark, d):
     return evaluate.averages(_runs(spark, d))
 
 
-@query("baseline_delta", f"{_AVERAGES} SELECT metric, value, baseline, round(value - baseline, 4) AS delta FROM (SELECT 'top_1' AS metric, top_1 AS value, 0.833::DOUBLE AS baseline FROM a WHERE repository = 'ALL' UNION ALL SELECT 'mrr', mrr, 0.879::DOUBLE FROM a WHERE repository = 'ALL')")
+@query("baseline_delta", f"{_AVERAGES} SELECT metric, value, baseline, round_even(value - baseline, 4) AS delta, CASE metric WHEN 'mrr' THEN printf('%.3f (%s%.3f)', round(value, 3), CASE WHEN value > baseline THEN '+' ELSE '' END, round(value - baseline, 3)) ELSE printf('%.1f%% (%s%.1f%%)', round(value * 100, 1), CASE WHEN value > baseline THEN '+' ELSE '' END, round((value - baseline) * 100, 1)) END AS text FROM (SELECT 'top_1' AS metric, top_1 AS value, 0.833::DOUBLE AS baseline FROM a WHERE repository = 'ALL' UNION ALL SELECT 'mrr', mrr, 0.879::DOUBLE FROM a WHERE repository = 'ALL')")
 def _(spark, d):
     total = evaluate.averages(_runs(spark, d)).filter("repository = 'ALL'")
-    return evaluate.against(total, {"top_1": 0.833, "mrr": 0.879}).drop("text")
+    return evaluate.against(total, {"top_1": 0.833, "mrr": 0.879})
 
 
 # -- judge scores: made of labels, some fenced, some broken
@@ -119,16 +120,11 @@ def _(spark, d):
     return _judged(spark, d).select("question_id", "repository", *evaluate.SCORES, "passed")
 
 
-@query("judge_summary", f"{_JUDGED} SELECT CASE WHEN grouping(repository) = 1 THEN 'ALL' ELSE repository END AS repository, count(*) AS total, {', '.join(f'round(avg({s}), 2) AS {s}' for s in evaluate.SCORES)}, count(*) FILTER (passed) AS passes, round(count(*) FILTER (passed) / count(*), 4) AS pass_rate FROM scores GROUP BY ROLLUP (repository)")
+@query("judge_summary", f"{_JUDGED} SELECT CASE WHEN grouping(repository) = 1 THEN 'ALL' ELSE repository END AS repository, count(*) AS total, {', '.join(f'round_even(avg({s}), 2) AS {s}' for s in evaluate.SCORES)}, count(*) FILTER (passed) AS passes, round_even(count(*) FILTER (passed) / count(*), 4) AS pass_rate FROM scores GROUP BY ROLLUP (repository)")
 def _(spark, d):
     return evaluate.judge_summary(_judged(spark, d))
 
 
-@query("failure_patterns", f"{_JUDGED} SELECT 'judge_error' AS pattern, count(*) FILTER (bad) AS n FROM scores " + " ".join(f"UNION ALL SELECT 'low_{s}', count(*) FILTER (NOT bad AND {s} < 4) FROM scores" for s in evaluate.SCORES[:4]) + " UNION ALL SELECT 'failed', count(*) FILTER (NOT passed) FROM scores")
-def _(spark, d):
-    return evaluate.failure_patterns(_judged(spark, d))
-
-
 @query("best_answers", f"{_JUDGED} SELECT question_id, overall FROM scores WHERE NOT bad ORDER BY overall DESC, question_id LIMIT 5")
 def _(spark, d):
     return evaluate.extremes(_judged(spark, d))[0].select("question_id", "overall")
@@ -157,25 +153,52 @@ def _(spark, d):
     return benchgen.generated(benchgen.facts(adapter.graph(spark, d)[0]))
 
 
-@query("near_identical", f"{_FACTS}, f AS (SELECT id, lower(label) AS n FROM facts) SELECT a.id, b.id AS other FROM f a JOIN f b ON a.id <> b.id AND (levenshtein(a.n, b.n) <= 1 OR a.n || 'es' = b.n OR b.n || 'es' = a.n)")
+_NEAR = """f AS (SELECT id, lower(label) AS n FROM facts), dn AS (SELECT n, count(*) - 1 AS n_same FROM f GROUP BY n),
+near AS MATERIALIZED (SELECT a.n, b.n AS other FROM dn a JOIN dn b ON a.n <> b.n AND (levenshtein(a.n, b.n) <= 1 OR a.n || 'es' = b.n OR b.n || 'es' = a.n))"""
+
+
+@query("near_identical", f"{_FACTS}, {_NEAR}, alike AS (SELECT n, string_agg(other, ',' ORDER BY other) AS others FROM near GROUP BY n) SELECT id, f.n AS name, n_same, coalesce(others, '') AS others FROM f JOIN dn ON dn.n = f.n LEFT JOIN alike ON alike.n = f.n WHERE n_same > 0 OR others IS NOT NULL")
 def _(spark, d):
-    return benchgen.near_identical(benchgen.facts(adapter.graph(spark, d, keep=True)[0]))
+    return benchgen.near_identical(cut(benchgen.facts(adapter.graph(spark, d)[0])))
+
+
+_UUID5 = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INT & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+_SHA1 = r"sha1('\x6B\xA7\xB8\x10\x9D\xAD\x11\xD1\x80\xB4\x00\xC0\x4F\xD4\x30\xC8'::BLOB || encode({x}))"
 
 
-@query("question_uuid5")
+@query("question_uuid5", f"{_GENERATED} SELECT id, question, {_UUID5} AS question_id FROM (SELECT *, {_SHA1.replace('{x}', "'adapter:' || id || ':' || question")} AS h FROM gen)")
 def _(spark, d):
     return benchgen.identified(benchgen.generated(benchgen.facts(adapter.graph(spark, d)[0])).withColumn("repository", F.lit("adapter"))).select("id", "question", "question_id")
 
 
-def _scored(spark, d) -> DataFrame:
-    nodes, edges = adapter.graph(spark, d, keep=True)
-    facts = benchgen.facts(nodes)
-    return benchgen.scored(benchgen.generated(facts), facts, traverse.importance_score(traverse.importance_metrics(nodes, edges)))
+# generated questions, and for every fifth length of an id such as each rule of the cascade rejects
+_VARIED = """SELECT id, question FROM gen UNION ALL SELECT id, concat('Why is ', label, ' here?') FROM gen WHERE length(id) % 5 = 0 UNION ALL SELECT id, concat('How is ', label, ' made') FROM gen WHERE length(id) % 5 = 0
+UNION ALL SELECT id, concat('What  is ', label, '?') FROM gen WHERE length(id) % 5 = 0 UNION ALL SELECT concat('no.', id), concat('What is ', label, '?') FROM gen WHERE length(id) % 5 = 0
+UNION ALL SELECT id, concat('What build ', label, '?') FROM gen WHERE length(id) % 5 = 0 UNION ALL SELECT id, concat('How run a node_', right(label, 1), ' dummy util?') FROM gen WHERE length(id) % 5 = 0 UNION ALL SELECT id, 'What is it?' FROM gen WHERE length(id) % 5 = 0"""
+_QUALITY = rf"""{_GENERATED}, {_METRICS[len(G) + 2:]}, imp AS (SELECT id, round_even(0.3 * degree / max(degree) OVER () + 0.4 * reference_count / max(reference_count) OVER () + 0.3 * pagerank / max(pagerank) OVER (), 4) AS importance FROM metrics), {_NEAR},
+first AS (SELECT n, min(id) AS first FROM f GROUP BY n), second AS (SELECT f.n, min(id) AS second FROM f JOIN first ON first.n = f.n AND id <> first GROUP BY f.n), nearest AS (SELECT near.n, min(first) AS near FROM near JOIN first ON first.n = other GROUP BY near.n),
+twin AS (SELECT id, least(CASE WHEN id <> first THEN first ELSE second END, near) AS twin FROM f JOIN first ON first.n = f.n LEFT JOIN second ON second.n = f.n LEFT JOIN nearest ON nearest.n = f.n),
+asked AS (SELECT DISTINCT id, question FROM ({_VARIED})), words AS (SELECT *, list_filter(regexp_split_to_array(trim(lower(regexp_replace(question, '[^\w\s]', '', 'g'))), '\s+'), lambda w: length(w) > 1 AND w NOT IN ({quoted(vocab.QUESTION_STOP_WORDS)})) AS kw,
+ lower(regexp_split_to_array(question, '\s+')[2]) AS v, len(list_filter(regexp_split_to_array(question, '\s+'), lambda w: w <> '')) AS n_words FROM asked),
+texts AS (SELECT id, lower(id || ' ' || label) AS t, lower(id) AS i FROM facts), sets AS (SELECT DISTINCT kw FROM words WHERE len(kw) > 0),
+hits AS (SELECT kw, count(*) AS n, list_sort(list(id))[:4] AS ids FROM sets JOIN texts ON len(list_filter(kw, lambda w: NOT contains(t, w))) = 0 GROUP BY kw),
+nouns AS (SELECT DISTINCT list_filter(kw, lambda w: w <> v) AS ns FROM words WHERE v IN ({quoted(benchgen.GENERIC_VERBS)})), among AS (SELECT ns, count(*) AS n_alike FROM nouns JOIN texts ON len(list_filter(ns, lambda w: contains(i, w))) > 0 GROUP BY ns),
+judged AS (SELECT words.id, question, CASE WHEN NOT (starts_with(question, 'How ') OR starts_with(question, 'What ')) THEN 'Rejection: Question must start with ''How'' or ''What''' WHEN NOT ends_with(question, '?') THEN 'Rejection: Question must end with ''?''' WHEN contains(question, '  ') THEN 'Rejection: Question contains double spaces'
+ WHEN facts.id IS NULL THEN 'Rejection: Expected node ''' || words.id || ''' not found in public nodes' WHEN twin IS NOT NULL THEN 'Rejection: Ambiguous symbol naming (nearly identical to ' || twin || ')' WHEN len(words.kw) = 0 THEN 'Rejection: Question has no meaningful keywords'
+ WHEN hits.n > 1 THEN 'Rejection: Ambiguous wording (matches other public symbols: ' || array_to_string(list_filter(ids, lambda x: x <> words.id)[:3], ', ') || ')' WHEN n_alike > 1 THEN 'Rejection: Uses generic verb ''' || v || ''' with ambiguous noun context' END AS reason,
+ greatest(0.0, least(1.0, 0.6 * coalesce(importance, 0.0) + 0.4 * (1.0 - CASE WHEN {' OR '.join(f"contains(lower(question), '{w}')" for w in benchgen.VAGUE)} THEN 0.3 ELSE 0.0 END - CASE WHEN n_words < 4 OR n_words > 10 THEN 0.2 ELSE 0.0 END))) AS worth
+ FROM words LEFT JOIN facts ON facts.id = words.id LEFT JOIN twin ON twin.id = words.id LEFT JOIN hits ON hits.kw = words.kw LEFT JOIN among ON v IN ({quoted(benchgen.GENERIC_VERBS)}) AND ns = list_filter(words.kw, lambda w: w <> v) LEFT JOIN imp ON imp.id = words.id)"""
 
 
-@query("question_quality")
+@query("question_quality", f"{_QUALITY} SELECT id, question, CASE WHEN reason IS NULL THEN round_even(worth::DOUBLE, 4) ELSE 0.0::DOUBLE END AS quality_score, coalesce(reason, 'Accepted') AS generation_reason FROM judged")
 def _(spark, d):
-    return _scored(spark, d).select("id", "question", F.round("quality_score", 2).alias("quality_score"), "generation_reason")
+    nodes, edges = adapter.graph(spark, d, keep=True)
+    facts = cut(benchgen.facts(nodes))
+    benchgen.generated(facts).createOrReplaceTempView("gen")
+    asked = spark.sql(_VARIED).distinct()
+    rows = benchgen.scored(asked, facts, traverse.importance_score(traverse.importance_metrics(nodes, edges)))
+    reason = F.when(F.col("generation_reason").startswith("Accepted"), "Accepted").otherwise(F.col("generation_reason"))
+    return rows.select("id", "question", "quality_score", reason.alias("generation_reason"))
 
 
 @query("balanced_selection", f"{_GENERATED}, good AS (SELECT id, question, category, 'r' || (length(id) % 3)::INT AS repository, (length(question) % 10 / 10.0)::DOUBLE AS q FROM gen WHERE length(question) % 10 > 0), tt AS (SELECT *, row_number() OVER (PARTITION BY category, repository ORDER BY q DESC, id DESC, question DESC) AS turn FROM good), p AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY turn, repository) AS place FROM tt) SELECT id, question, category, repository, place FROM p WHERE place <= ceil(100 / (SELECT count(DISTINCT category) FROM good))")
@@ -188,7 +211,7 @@ def _(spark, d):
 # -- answers
 
 _POLICY = f"""{_INTENT}, hops(policy, {', '.join('hops_' + r for r in vocab.RELATIONSHIPS)}) AS (VALUES {values((n, *h) for n, h in vocab.HOPS.items())}),
-named AS (SELECT q.question_id, coalesce(intent, 'default') AS policy, coalesce(rank, 0) AS rank FROM q LEFT JOIN intents ON intents.question_id = q.question_id AND intent IN (SELECT policy FROM hops))"""
+named AS (SELECT q.question_id, coalesce(hops.policy, 'default') AS policy, coalesce(rank, 0) AS rank FROM q LEFT JOIN intents ON intents.question_id = q.question_id LEFT JOIN hops ON hops.policy = intent)"""
 
 
 @query("policy_merge", f"WITH {_POLICY} SELECT question_id::BIGINT AS question_id, CASE WHEN count(*) = 1 THEN any_value(named.policy) ELSE 'merged(' || string_agg(named.policy, '+' ORDER BY rank) || ')' END AS policy, {', '.join(f'max(hops_{r})::BIGINT AS hops_{r}' for r in vocab.RELATIONSHIPS)} FROM named JOIN hops ON hops.policy = named.policy GROUP BY question_id")
@@ -207,12 +230,3 @@ def _(spark, d):
 def _(spark, d):
     nodes, edges = adapter.graph(spark, d, keep=True)
     return answer.answered(answer.prompts(answer.packages(nodes, edges, adapter.questions(spark)))).select("question_id", "status", "answer")
-
-
-@query("checkpoint_remaining", "SELECT doc_id AS question_id FROM labels WHERE NOT (quality = 1 AND doc_id % 2 = 0 OR quality = 0 AND toxic = 1)")
-def _(spark, d):
-    adapter.tables(spark, d, "labels")
-    labels = spark.table("labels").select(F.lit("r").alias("repository"), F.col("doc_id").cast("string").alias("question"), "quality", "toxic", "doc_id")
-    status = F.when((F.col("quality") == 1) & (F.col("doc_id") % 2 == 0), "done").when((F.col("quality") == 0) & (F.col("toxic") == 1), "failed").otherwise("pending")
-    store = labels.select("repository", "question", status.alias("status"), F.lit(3).alias("attempts"))
-    return answer.remaining(labels, store).select(F.col("doc_id").alias("question_id"))

@@ -81,9 +81,10 @@ def python_sources(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """(file_count, digest) of a listing: changes with any path, time or size."""
-    entry = F.struct("rel_path", "mtime", "size")
-    return files.filter("NOT is_dir").agg(F.count("*").alias("file_count"), F.sha2(F.to_json(F.array_sort(F.collect_list(entry))), 256).alias("digest"))
+    """(file_count, digest) of a listing: changes with any path, time or size. Hashes of the files are joined by exclusive or, in any order."""
+    h = F.sha2(F.to_json(F.struct("rel_path", "mtime", "size")), 256)
+    part = lambda k: F.lower(F.lpad(F.hex(F.coalesce(F.bit_xor(F.conv(F.substring(h, 15 * k + 1, 15), 16, 10).cast("long")), F.lit(0))), 15, "0"))
+    return files.filter("NOT is_dir").agg(F.count("*").alias("file_count"), F.concat(*[part(k) for k in range(4)]).alias("digest"))
 
 
 def source_listing(spark: SparkSession, path: str) -> DataFrame:
@@ -98,6 +99,13 @@ def changed(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("rel_path", kind.alias("change")).filter("change IS NOT NULL")
 
 
+def stale(saved: dict | None, nodes_exist: bool, digest: str) -> list[str]:
+    """Why a cached graph can't be used, in order; none if it can."""
+    if saved is None:
+        return ["fingerprint missing or unreadable"]
+    return [*([] if nodes_exist else ["graph missing"]), *([] if saved["digest"] == digest else ["files changed"])]
+
+
 def cache_key(path: str) -> str:
     name = os.path.basename(os.path.abspath(path))
     return re.sub(r"[^A-Za-z0-9_.-]", "_", name) + "_" + hashlib.sha256(os.path.abspath(path).encode()).hexdigest()[:8]

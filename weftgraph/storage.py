@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to spark.checkpoint.dir, which executors share; a folder is set only where none is (tests)."""
+    """Checkpoint to spark.checkpoint.dir, which executors share; a folder of its own only in local mode without one (tests)."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="weftgraph-"))
     return df.checkpoint()
