@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Upper bounds of one Arrow batch handed to Python, so that a worker's memory
 #: doesn't follow the partition's size.
 BATCH_ROWS = 1024
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -25,6 +27,25 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and an executor's memory holds them all."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """``run`` (an iterator of batches to one) that releases memory at its end."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, spark.checkpoint.dir; a folder of its own only in local mode without one, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,17 +57,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage is cut, lost executors cost nothing.
-
-    The folder is deleted when the driver ends.
-    """
-    spark = df.sparkSession
+def temporary(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared folder; it is deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    system = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+    return path
+
+
+def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+    path = f"{temporary(df.sparkSession, label)}/table"
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, materialize, text_bytes
+from ._common import bounded_batches, materialize, release, released, text_bytes
 
 #: Bytes of text in a chunk, and of all texts for each shard: both bound a task's memory.
 CHUNK_BYTES = 4 << 20
@@ -94,9 +94,10 @@ class Exchange:
     """The documents of one operator call, cut into chunks that are written once with the notes ``prepare`` makes.
 
     ``texts``: whether later passes see the texts; else the notes must hold what they need.
+    ``path``: a folder in which the chunks stay; else they go to the shared folder until the driver ends.
     """
 
-    def __init__(self, docs: DataFrame, prepare: Callable[[Chunk], bytes], texts: bool = True, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES):
+    def __init__(self, docs: DataFrame, prepare: Callable[[Chunk], bytes], texts: bool = True, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, path: str | None = None):
         bounded_batches(docs.sparkSession)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("_bytes"))
 
@@ -104,7 +105,10 @@ class Exchange:
             for chunk in _cut(batches, chunk_bytes):
                 yield chunk.packed(prepare(chunk), texts)
 
-        self.table = materialize(rows.mapInArrow(run, PACKED), "packed")
+        packed = rows.mapInArrow(released(run), PACKED)
+        if path:
+            packed.write.option("compression", "zstd").parquet(path)
+        self.table = docs.sparkSession.read.schema(PACKED).parquet(path) if path else materialize(packed, "packed")
         total = self.table.agg(F.sum("n_bytes")).first()[0] or 0
         self.shards = max(8, -(-total // shard_bytes))
 
@@ -117,7 +121,7 @@ class Exchange:
                     if rows := [(shard, row["chunk"], kind, payload) for shard, kind, payload in question(Chunk.unpack(row))]:
                         yield _blocks(rows)
 
-        return self.table.select("chunk", "notes").mapInArrow(run, BLOCK)
+        return self.table.select("chunk", "notes").mapInArrow(released(run), BLOCK)
 
     def answer(self, blocks: DataFrame, resolve: Callable[[list[dict]], Iterable[tuple[bytes, int, bytes]]]) -> DataFrame:
         """Each shard's blocks, ordered by chunk, to (chunk, kind, payload)."""
@@ -125,8 +129,9 @@ class Exchange:
         def run(table: pa.Table) -> pa.Table:
             rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["chunk"]))
             shard = rows[0]["shard"]
-            made = [(shard, *r) for r in resolve(rows)]
-            return pa.Table.from_batches([_blocks(made)])
+            made = pa.Table.from_batches([_blocks([(shard, *r) for r in resolve(rows)])])
+            release()
+            return made
 
         return blocks.groupBy("shard").applyInArrow(run, BLOCK)
 
@@ -141,6 +146,7 @@ class Exchange:
                 got[r["shard"], r["kind"]] = r
             rows = [got[k] for k in sorted(got)]
             made = use(Chunk.unpack(left.slice(0, 1).to_pylist()[0]), rows)
+            release()
             return pa.concat_tables([made] * left.num_rows)
 
         return self.table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)

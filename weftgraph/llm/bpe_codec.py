@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_batches, documents, tucked
+from ._common import bounded_batches, documents, released, tucked
 from .token_counts import ArrayMerger, byte_symbols, merge_pairs
 
 MEMO = 1 << 18  # words whose codes a worker keeps
 KEPT = 64  # characters of such a word at most
+LEFT = 1 << 16  # words that may stay when a task ends
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -126,6 +127,11 @@ class Codec:
             self.text.pop(w, None)
         return out
 
+    def forget(self, most: int) -> None:
+        """Empty the table if it has more than ``most`` words."""
+        if len(self.ids) > most:
+            self.ids, self.text = {}, {}
+
     def _marked(self, text: str) -> list[str]:
         """Words, with special strings found first and marked by a character that no word here begins with."""
         out: list[str] = []
@@ -156,7 +162,8 @@ def bpe_codes(docs: DataFrame, path: str, carry: list[str] | None = None, texts:
         return hashlib.sha256(x.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = codec(path).code
+        own = codec(path)
+        code = own.code
         for batch in batches:
             coded = code(batch["_text"].to_pylist())
             at = batch.schema.get_field_index("_text")
@@ -166,8 +173,9 @@ def bpe_codes(docs: DataFrame, path: str, carry: list[str] | None = None, texts:
             if texts:
                 result += [pa.array([list(map(int, x.split())) for _, x, _ in coded], pa.list_(pa.int32())), pa.array([x for _, _, x in coded])]
             yield pa.RecordBatch.from_arrays(columns + [r.cast(pa.string()) if pa.types.is_null(r.type) else r for r in result], names + [f.name for f in made])
+        own.forget(LEFT)
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in through] + made))
+    return rows.mapInArrow(released(run), T.StructType([rows.schema[c] for c in through] + made))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

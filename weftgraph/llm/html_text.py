@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_batches, tucked
+from ._common import bounded_batches, released, tucked
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
 ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
@@ -319,7 +319,7 @@ def html_text(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
             names = [x for i, x in enumerate(batch.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*names, "text", "n_chars"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in through] + made))
+    return rows.mapInArrow(released(run), T.StructType([rows.schema[c] for c in through] + made))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

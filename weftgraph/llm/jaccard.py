@@ -8,7 +8,8 @@ same pairs, a good one compares fewer.  A shard answers which prefix shingles
 stand in two documents (one packed exchange), and sets meet at those (another).
 
 Sets that meet are compared by size and by parity bits (a lower bound of the
-difference, so that no pair is lost), and what passes by the whole sets.  Where
+difference, so that no pair is lost), what passes by longer sketches of the same
+kind, and what is left by the whole sets.  Where
 more than FULL sets meet, each is first compared with a few others; what is
 joined then needs no more comparisons, and all pairs of sets not joined yet are
 compared by blocks, so that rows don't grow with the pairs.  Links have the
@@ -28,18 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, materialize, text_bytes
+from ._common import bounded_batches, materialize, release, released, text_bytes
 from .blocks import Chunk, Exchange, RunIndex, answered_bits, answers_of, blocks_table, dealt, first_of, keys_with_bits, mixed, packed_bits, read_keys_with_bits, shard_of
 from .components import components
 
 SHINGLE = 5
 PERCENT = 80
-FULL = 128  # sets that meet at a shingle and are all compared at once
+FULL = 32  # sets that meet at a shingle and are all compared at once
 OTHERS = 4
+AT_ONCE = 1 << 17  # pairs looked at together
 BLOCK = 512
 SAMPLE = 8000  # documents, about, that the hot shingles are taken from
 HOT_FROM, HOT_MOST = 5, 50_000
 WORDS64 = 4  # parity bits of a set, in 64-bit words
+SKETCH = 1 << 15  # parity bits of a set at most, where pairs are looked at again
 
 _ODD = np.random.default_rng(5).integers(1, 1 << 62, 64, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i8"), ("bits", "<u8", (WORDS64,))])
@@ -89,6 +92,23 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<u8")
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity bits again, about two a shingle (a power of two from 256 to SKETCH): enough to tell large sets apart."""
+    bits = min(SKETCH, max(256, 1 << (2 * len(shingles) - 1).bit_length()))
+    counts = np.bincount((mixed(shingles) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little")
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    """A lower bound of the difference of two sets by their sketches; the longer one is folded."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _possible(size_a, size_b, bits_a, bits_b, percent: int) -> np.ndarray:
     """Whether pairs can be at the limit: the difference of two such sets is at most (100 - percent) / (100 + percent) of their sizes' sum."""
     differ = np.maximum(np.bitwise_count(bits_a ^ bits_b).sum(axis=-1, dtype=np.int64), np.abs(size_a - size_b))
@@ -96,9 +116,13 @@ def _possible(size_a, size_b, bits_a, bits_b, percent: int) -> np.ndarray:
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+    low, high = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    new = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])] if len(low) else np.zeros(0, bool)
+    both = np.stack([low[new], high[new]], axis=1)
     none = pa.nulls(len(both), pa.int64())
-    return pa.table([pa.array(both[:, 0]), pa.array(both[:, 1]), none, none, pa.nulls(len(both), pa.binary())], ["a", "b", "grp", "size", "bits"])
+    return pa.table([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), none, none, pa.nulls(len(both), pa.binary())], ["a", "b", "grp", "size", "bits"])
 
 
 MET = "a long, b long, grp long, size long, bits binary"
@@ -120,8 +144,8 @@ def _meet(entries: np.ndarray, percent: int) -> pa.Table:
     for n in np.unique(count[(count > 1) & (count <= FULL)]).tolist():
         i, j = np.triu_indices(n, 1)
         starts = first[count == n]
-        for k in range(0, len(starts), max(1, (1 << 20) // len(i))):
-            some = starts[k : k + max(1, (1 << 20) // len(i)), None]
+        for k in range(0, len(starts), max(1, AT_ONCE // len(i))):
+            some = starts[k : k + max(1, AT_ONCE // len(i)), None]
             try_((some + i).ravel(), (some + j).ravel())
     for a, n in zip(first[count > FULL].tolist(), count[count > FULL].tolist(), strict=True):
         x = np.arange(a, a + n)
@@ -145,7 +169,7 @@ def _rows_of(docs: DataFrame, width: int, make, schema: str) -> DataFrame:
         for batch in batches:
             yield make(shingle_sets(batch["_bytes"].to_pylist(), width), batch)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def hot_shingles(docs: DataFrame, width: int = SHINGLE) -> np.ndarray:
@@ -163,28 +187,33 @@ def hot_shingles(docs: DataFrame, width: int = SHINGLE) -> np.ndarray:
 
 
 class Prefixes:
-    """The distinct sets of a chunk: digest, size and parity bits of each, and the shingles of its prefix."""
+    """The distinct sets of a chunk: digest, size, parity bits and sketch of each, and the shingles of its prefix."""
 
-    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, length: np.ndarray, keys: np.ndarray):
-        self.nodes, self.sizes, self.bits, self.length, self.keys = nodes, sizes, bits, length, keys
+    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, length: np.ndarray, keys: np.ndarray, sketches: list[bytes]):
+        self.nodes, self.sizes, self.bits, self.length, self.keys, self.sketches = nodes, sizes, bits, length, keys, sketches
         self.owner = np.repeat(np.arange(len(nodes)), length)
 
     @staticmethod
     def pack(texts: list[bytes], width: int, hot: np.ndarray, percent: int) -> bytes:
         sets = {node(s): s for s in shingle_sets(texts, width) if len(s)}
         firsts = [prefix(s, hot, percent) for s in sets.values()]
-        parts = [np.array([len(sets)], np.int64), np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()], np.int64), np.array([len(p) for p in firsts], np.int64), *map(parity, sets.values()), *firsts]
+        sketches = [sketch(s) for s in sets.values()]
+        counts = [np.array(x, np.int64) for x in ([len(sets)], list(sets), [len(s) for s in sets.values()], [len(p) for p in firsts], [len(x) for x in sketches])]
+        parts = [*counts, *map(parity, sets.values()), *firsts, *sketches]
         return b"".join(x.tobytes() for x in parts)
 
     @classmethod
     def unpack(cls, raw: bytes) -> Prefixes:
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        nodes, sizes, length = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n)
-        bits = np.frombuffer(raw, "<u8", WORDS64 * n, 8 + 24 * n).reshape(n, WORDS64)
-        return cls(nodes, sizes, bits, length, np.frombuffer(raw, "<u8", int(length.sum()), 8 + (24 + 8 * WORDS64) * n))
+        nodes, sizes, length, sketched = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n)
+        bits = np.frombuffer(raw, "<u8", WORDS64 * n, 8 + 32 * n).reshape(n, WORDS64)
+        keys = np.frombuffer(raw, "<u8", int(length.sum()), 8 + (32 + 8 * WORDS64) * n)
+        end = len(raw) - int(sketched.sum()) + np.cumsum(sketched)
+        return cls(nodes, sizes, bits, length, keys, [raw[b - k : b] for b, k in zip(end.tolist(), sketched.tolist(), strict=True)])
 
 
-def _met(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _met(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """MET rows, and (_node, size, sketch) of each chunk's sets."""
     hot = hot_shingles(docs, width)
     exchange = Exchange(docs, lambda chunk: Prefixes.pack(chunk.texts, width, hot, percent), texts=False)
     shards = exchange.shards
@@ -217,17 +246,46 @@ def _met(docs: DataFrame, width: int, percent: int) -> DataFrame:
         return blocks_table([(s, chunk.name, 0, made[at].tobytes()) for s, at in dealt(shard_of(keys, shards))] if len(keys) else [])
 
     def meet(table: pa.Table) -> pa.Table:
-        return _meet(np.concatenate([np.frombuffer(p, _ENTRY) for p in table["payload"].to_pylist()]), percent)
+        made = _meet(np.concatenate([np.frombuffer(p, _ENTRY) for p in table["payload"].to_pylist()]), percent)
+        release()
+        return made
 
     sent = exchange.meet(exchange.answer(exchange.ask(ask), resolve), entries, "shard long, chunk binary, kind int, payload binary")
-    return materialize(sent.groupBy("shard").applyInArrow(meet, MET), "jaccard-met")
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                sets = Prefixes.unpack(Chunk.unpack(row).notes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(sets.nodes)), pa.array(np.ascontiguousarray(sets.sizes)), pa.array(sets.sketches, pa.binary())], ["_node", "size", "sketch"])
+
+    known = exchange.table.select("chunk", "notes").mapInArrow(sketches, "_node long, size long, sketch binary")
+    return materialize(sent.groupBy("shard").applyInArrow(meet, MET), "jaccard-met"), known
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose whole sets are similar; ``docs``: text and _node."""
+def _likely(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b), distinct, those that their sketches don't rule out; ``known``: (_node, size, sketch), repeats included."""
     pairs = materialize(pairs.select("a", "b").distinct(), "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("_node")).union(pairs.select(F.col("b").alias("_node"))).distinct()
-    texts = docs.select("_node", "text").join(wanted, "_node", "left_semi").groupBy("_node").agg(F.min("text").alias("text")).select("_node", text_bytes().alias("_bytes"))
+    own = known.join(wanted, "_node", "left_semi").dropDuplicates(["_node"])
+    side = lambda c, n: own.select(F.col("_node").alias(c), F.col("size").alias(f"size_{n}"), F.col("sketch").alias(f"sketch_{n}"))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "size_x", "size_y", "sketch_x", "sketch_y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch["size_x"].to_numpy(), batch["size_y"].to_numpy()
+            differ = np.array([_differ(s, t) for s, t in zip(batch["sketch_x"].to_pylist(), batch["sketch_y"].to_pylist(), strict=True)], np.int64)
+            fits = (100 + percent) * np.maximum(differ, np.abs(x - y)) <= (100 - percent) * (x + y)
+            yield batch.select(["a", "b"]).filter(pa.array(fits))
+
+    return materialize(both.mapInArrow(released(run), "a long, b long"), "jaccard-likely")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose whole sets are similar; ``docs``: doc_id, text and _node."""
+    pairs = _likely(pairs, known, percent)
+    wanted = pairs.select(F.col("a").alias("_node")).union(pairs.select(F.col("b").alias("_node"))).distinct()
+    named = docs.join(wanted, "_node", "left_semi").groupBy("_node").agg(F.min("doc_id").alias("_first"))  # one document of each set: its texts stay where they are
+    texts = docs.join(named.withColumnRenamed("_node", "_wanted"), (F.col("_node") == F.col("_wanted")) & F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").select("_node", text_bytes().alias("_bytes"))
 
     def each(sets, batch):
         return pa.RecordBatch.from_arrays([batch["_node"], pa.array([s.tobytes() for s in sets], pa.binary())], ["_node", "_set"])
@@ -240,19 +298,20 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
             fits = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    return materialize(both.mapInArrow(run, "a long, b long"), "jaccard-links")
+    return materialize(both.mapInArrow(released(run), "a long, b long").distinct(), "jaccard-links")
 
 
 def _across(table: pa.Table, percent: int) -> pa.Table:
-    """Possible pairs of two blocks of a group (or within one), of different roots."""
+    """Pairs of two blocks of a group (or within one), of different roots, that their sketches don't rule out."""
     i, j, block = table["i"][0].as_py(), table["j"][0].as_py(), table["block"].to_numpy()
     names, size, root = table["a"].to_numpy(), table["size"].to_numpy(), table["root"].to_numpy()
-    bits = np.frombuffer(b"".join(table["bits"].to_pylist()), "<u8").reshape(-1, WORDS64)
+    bits, sketches = np.frombuffer(b"".join(table["bits"].to_pylist()), "<u8").reshape(-1, WORDS64), table["sketch"].to_pylist()
     one, two, left, right = np.flatnonzero(block == i), np.flatnonzero(block == j), [], []
     for k in one.tolist():
         at = two[root[two] != root[k]]
         at = at[names[at] > names[k]] if i == j else at
         at = at[_possible(size[k], size[at], bits[k], bits[at], percent)]
+        at = at[np.array([(100 + percent) * _differ(sketches[k], sketches[x]) <= (100 - percent) * (size[k] + size[x]) for x in at.tolist()], bool)]
         left.append(np.full(len(at), names[k]))
         right.append(names[at])
     return _pairs(np.concatenate(left), np.concatenate(right)).select(["a", "b"]) if left else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -260,15 +319,16 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
 
 def links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) of nodes that have the components of all similar pairs; ``docs``: doc_id, text and _node."""
-    met = _met(docs.select("doc_id", "text"), width, percent)
-    first = _verified(docs, met.filter("grp IS NULL"), width, percent)
+    met, known = _met(docs.select("doc_id", "text"), width, percent)
+    first = _verified(docs, met.filter("grp IS NULL"), known, width, percent)
     full = met.filter("grp IS NOT NULL").select("a", "grp", "size", "bits")
     if full.isEmpty():
         return first
     rooted = full.join(components(first).withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    rooted = materialize(rooted, "jaccard-full")
+    sketches = known.select(F.col("_node").alias("a"), "sketch").join(full.select("a").distinct(), "a", "left_semi").dropDuplicates(["a"])
+    rooted = materialize(rooted.join(sketches, "a"), "jaccard-full")
     open_ = rooted.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("low <> high")
     dealt = rooted.join(open_.select("grp", "blocks"), "grp").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    more = dealt.select("grp", "i", "j", "block", "a", "size", "bits", "root").groupBy("grp", "i", "j").applyInArrow(lambda t: _across(t, percent), "a long, b long")
-    return first.union(_verified(docs, more, width, percent))
+    more = dealt.select("grp", "i", "j", "block", "a", "size", "bits", "sketch", "root").groupBy("grp", "i", "j").applyInArrow(lambda t: _across(t, percent), "a long, b long")
+    return first.union(_verified(docs, more, known, width, percent))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_batches, documents, text_bytes, tucked
+from ._common import bounded_batches, documents, released, text_bytes, tucked
 
 LEVEL = 3
 CHUNK = 4096
@@ -137,7 +137,7 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     through = [c for c in carry if c.lower() not in taken]
     rows = docs.select(*[F.col(f"`{c}`") for c in through], text_bytes().alias("_text"))
     schema = T.StructType([rows.schema[c] for c in through] + RESULT.fields)
-    return rows.mapInArrow(_measure_batches, schema)
+    return rows.mapInArrow(released(_measure_batches), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

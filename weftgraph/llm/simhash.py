@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import jaccard
-from ._common import bounded_batches, documents, materialize, text_bytes, tucked
+from ._common import bounded_batches, documents, materialize, released, text_bytes, tucked
 from .components import components
 
 SHINGLE = 3
@@ -87,7 +87,7 @@ def with_fingerprint(docs: DataFrame, width: int, carry: list[str], sets: bool =
                 made.append(pa.array(map(jaccard.node, jaccard.shingle_sets(batch["_bytes"].to_pylist())), pa.int64()))
             yield pa.RecordBatch.from_arrays([*columns, *made], [*names, *added])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in through] + [T.StructField(c, T.LongType()) for c in added]))
+    return rows.mapInArrow(released(run), T.StructType([rows.schema[c] for c in through] + [T.StructField(c, T.LongType()) for c in added]))
 
 
 def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:

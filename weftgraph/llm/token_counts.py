@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_batches, documents, tucked
+from ._common import bounded_batches, documents, released, tucked
 
 LIMIT = 1024
 MEMO = 1 << 19  # pre-tokens, and texts between spaces, whose counts a worker keeps
 KEPT = 64  # characters of such a text at most
+LEFT = 1 << 16  # of either that may stay when a task ends
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 STEP_SYMBOLS = 1 << 20  # symbols merged at a time
 UNEVEN = 1 << 50  # stands for the count of what can't be cut at spaces
@@ -220,6 +221,11 @@ class Counter:
         self.long = []
         return out
 
+    def forget(self, most: int) -> None:
+        """Empty the tables if one has more than ``most`` entries."""
+        if max(len(self.memo), len(self.spaced)) > most:
+            self.memo, self.spaced = {}, {}
+
     def _new_spaced(self, new: list[str]) -> None:
         self.long += [x for x in new if len(x) > KEPT]
         even = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
@@ -250,7 +256,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, carry: list[str
     rows = docs.select(*[F.col(f"`{c}`") for c in through], F.coalesce(F.col("text"), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path).count
+        own = counter(path)
+        count = own.count
         for batch in batches:
             texts = batch["_text"].to_pylist()
             n = count(texts)
@@ -259,8 +266,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, carry: list[str
             names = [x for i, x in enumerate(batch.schema.names) if i != at]
             result = [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns + result, names + [f.name for f in made])
+        own.forget(LEFT)
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in through] + made))
+    return rows.mapInArrow(released(run), T.StructType([rows.schema[c] for c in through] + made))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
