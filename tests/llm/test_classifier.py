@@ -52,3 +52,35 @@ def test_platt_orders_and_calibrates():
     a, b = qc.platt(odds, y)
     p = 1 / (1 + np.exp(-(a * odds + b)))
     assert a > 0 and abs(p.mean() - y.mean()) < 0.02
+
+
+def test_the_fit_does_not_depend_on_how_rows_lie(spark):
+    rows, labels = corpus(400, 5)
+    copies = [(1000 + k, *rows[7][1:]) for k in range(300)]  # more copies of one text than a round hands over
+    docs = spark.createDataFrame(rows + copies, SCHEMA)
+    known = spark.createDataFrame([*labels[:100], (3, 0), (3, 1)], "doc_id long, quality int")
+    scores = []
+    for n in (1, 7):
+        model = qc.fit(docs.repartition(n), known)
+        scores.append({r["doc_id"]: (r["text_score"], r["meta_score"]) for r in qc.score(docs, model).collect()})
+    assert scores[0] == scores[1]
+
+
+def test_each_view_teaches_the_other(spark):
+    """Views hand over what they are surest of; what they label differently goes to neither."""
+    rows, _ = corpus(200, 7)
+    feats = qc._written(spark.createDataFrame(rows, SCHEMA))
+    text, meta = np.zeros(qc.WORD_SLOTS + qc.MADE_UP, np.float32), np.zeros(qc.META_SLOTS, np.float32)
+
+    def view(w, b):
+        out = qc.Logistic.__new__(qc.Logistic)
+        out.w, out.b = w, b
+        return out
+
+    assert qc.surest(feats, [view(text, 1.0), view(meta, -1.0)], np.zeros(0, np.int64), 500) == [[], []]  # they disagree on all
+    same = qc.surest(feats, [view(text, 1.0), view(meta, 1.0)], np.array([0, 1, 2]), 5)
+    assert [len(x) for x in same] == [5, 5] and all(r["kind"] == 1 and r["doc_id"] > 2 for own in same for r in own)
+    matrix = qc._rows(same[0]).dense()
+    assert matrix[0].shape == (5, qc.WORD_SLOTS + qc.MADE_UP) and set(matrix[1].sum(axis=1)) <= {3.0, 4.0}
+    odds = qc._rows(same[0]).odds([view(np.ones_like(text), 0.5), view(np.ones_like(meta), 0.5)])
+    assert np.allclose(odds[0], matrix[0].sum(axis=1) + 0.5, atol=1e-3) and np.allclose(odds[1], matrix[1].sum(axis=1) + 0.5)
