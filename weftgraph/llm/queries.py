@@ -15,4 +15,4 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.query,
 }
 
-ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op10_substring_dedup": substring_dedup.ORACLE_SQL}

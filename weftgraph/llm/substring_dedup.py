@@ -360,3 +360,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = WindowIndex(spark, temporary(spark, "op10-index"), room=2)
     parts = [index.add(docs.filter(low)), index.add(docs.filter(~low))]
     return parts[0].unionByName(parts[1]).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+_NEXT = " || ' ' || ".join(["x", *[f"lead(x, {k}) OVER o" for k in range(1, WINDOW)]])
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+word AS MATERIALIZED (SELECT r, doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d),
+win AS MATERIALIZED (SELECT * FROM (SELECT r, doc_id, k, {_NEXT} AS s FROM word WINDOW o AS (PARTITION BY r ORDER BY k)) WHERE s IS NOT NULL),
+first AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(k, k + {WINDOW})) AS k FROM win JOIN first ON first.s = win.s WHERE doc_id > least OR doc_id IS NULL AND least IS NOT NULL),
+kept AS (SELECT word.r, string_agg(x, ' ' ORDER BY word.k) AS t, count(*) AS n FROM word LEFT JOIN gone ON gone.r = word.r AND gone.k = word.k WHERE gone.k IS NULL GROUP BY word.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.r = d.r
+"""
