@@ -37,7 +37,9 @@ def test_batches_equal_the_whole(spark, tmp_path, cuts):
         index = sd.WindowIndex(spark, path, window=6)  # opened anew for each batch
         got += rows(index.add(spark.createDataFrame(data[a:b], SCHEMA).repartition(2)))
     assert sorted(got, key=str) == whole
-    runs = sd.WindowIndex(spark, path).runs()
+    index = sd.WindowIndex(spark, path)
+    index.compact()
+    runs = index.runs()
     assert runs[0][0] == 0 and runs[-1][1] == len(cuts) and all(x[1] + 1 == y[0] for x, y in zip(runs, runs[1:], strict=False))
     assert all(x[2] >= 2 * y[2] for x, y in zip(runs, runs[1:], strict=False))  # like sizes are merged
 

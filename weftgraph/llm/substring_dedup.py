@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import documents, materialize, release, temporary
-from .blocks import BLOCK, PACKED, Chunk, Exchange, RunIndex, answered_bits, answers_of, blocks_table, cover, dealt, first_of, keys_with_bits, mixed, packed_bits, read_keys_with_bits, shard_of, sliding_min, unpacked_bits
+from .blocks import BLOCK, PACKED, Chunk, Exchange, RunIndex, answered_bits, answers_of, blocks_table, cover, dealt, first_of, keys_with_bits, mixed, packed_bits, read_keys_with_bits, runs, shard_of, sliding_min, unpacked_bits
 
 WINDOW = 13
 ANCHOR = 5
@@ -115,21 +115,23 @@ def _ask(words: Words, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return low, least != most, place
 
 
-RUN = "shard long, keys binary, refs binary, names binary"
+RUN = "shard long, keys binary, refs binary, names binary, many binary"
 HISTORY, HELD = 4, 5  # kinds of blocks: windows of history; anchors of a history chunk that the batch shares
 
 
-def _run_row(shard: int, keys: np.ndarray, refs: np.ndarray, names: list[bytes]) -> pa.Table:
+def _run_row(shard: int, keys: np.ndarray, refs: np.ndarray, names: list[bytes], many: np.ndarray) -> pa.Table:
     order = np.argsort(keys, kind="stable")
-    row = (keys[order].tobytes(), refs[order].astype(np.uint32).tobytes(), b"".join(names))
-    return pa.table([pa.array([shard], pa.int64()), *[pa.array([x], pa.binary()) for x in row]], ["shard", "keys", "refs", "names"])
+    row = (keys[order].tobytes(), refs[order].astype(np.uint32).tobytes(), b"".join(names), np.packbits(many[order]).tobytes())
+    return pa.table([pa.array([shard], pa.int64()), *[pa.array([x], pa.binary()) for x in row]], ["shard", "keys", "refs", "names", "many"])
 
 
 def _new_run(table: pa.Table) -> pa.Table:
-    """A shard's blocks of a batch to a run: its anchors sorted, each with the chunk that has it."""
-    names = table["chunk"].to_pylist()
-    keys = [read_keys_with_bits(p)[0] for p in table["payload"].to_pylist()]
-    return _run_row(table["shard"][0].as_py(), np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys]), names)
+    """A shard's blocks of a batch to a run: its anchors sorted, each with the chunk that has it, and whether two of the chunk's documents do."""
+    blocks = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+    keys, many = zip(*[read_keys_with_bits(b["payload"]) for b in blocks], strict=True)
+    made = _run_row(blocks[0]["shard"], np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys]), [b["chunk"] for b in blocks], np.concatenate(many))
+    release()
+    return made
 
 
 def _compacted(table: pa.Table) -> pa.Table:
@@ -140,31 +142,32 @@ def _compacted(table: pa.Table) -> pa.Table:
         refs.append(np.frombuffer(row["refs"], np.uint32).astype(np.int64) + before)
         names.append(row["names"])
         before += len(row["names"]) // 16
-    return _run_row(table["shard"][0].as_py(), np.concatenate(keys), np.concatenate(refs), names)
-
-
-def _shared(asked: pa.Table, runs_: pa.Table) -> pa.Table:
-    """A shard's anchors of the batch, merge-joined with the runs: bits for the batch's chunks, shared anchors for those of history."""
-    blocks = sorted(asked.to_pylist(), key=lambda r: r["chunk"])
-    got = [read_keys_with_bits(b["payload"]) for b in blocks]
-    index = RunIndex(np.add)
-    for keys, many in got:
-        index.add(keys, many.astype(np.int64) + 1)
-    mine, count = index.compact()
-    held, out = np.zeros(len(mine), bool), []
-    for run in runs_.to_pylist() if len(mine) else ():
-        keys, refs = np.frombuffer(run["keys"], "<u8"), np.frombuffer(run["refs"], np.uint32)
-        at = np.searchsorted(keys, mine)
-        held |= (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == mine)
-        at = np.minimum(np.searchsorted(mine, keys), len(mine) - 1)
-        hit = mine[at] == keys
-        for ref, places in dealt(refs[hit].astype(np.int64)):
-            out.append((0, run["names"][16 * ref : 16 * ref + 16], HELD, keys[hit][places].tobytes()))
-    shared = held | (count > 1) if len(mine) else held
-    if blocks:
-        shard = blocks[0]["shard"]
-        out += [(shard, b["chunk"], 0, packed_bits(shared[np.searchsorted(mine, keys)])) for b, (keys, _) in zip(blocks, got, strict=True)]
-    return blocks_table(out)
+    joined = np.concatenate(keys)
+    return _run_row(table["shard"][0].as_py(), joined, np.concatenate(refs), names, np.zeros(len(joined), bool))
+
+
+def _shared(new: pa.Table, old: pa.Table) -> pa.Table:
+    """A shard's run of the batch, merge-joined with the runs before: bits for the batch's chunks, shared anchors for those of history."""
+    if not new.num_rows:
+        return blocks_table([])
+    row = new.to_pylist()[0]
+    keys, refs = np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["refs"], np.uint32).astype(np.int64)
+    many = np.unpackbits(np.frombuffer(row["many"], np.uint8), count=len(keys))
+    first = runs(keys)
+    mine, shared, out = keys[first], np.add.reduceat(many.astype(np.int64) + 1, first) > 1, []
+    for run in old.to_pylist():
+        held, where = np.frombuffer(run["keys"], "<u8"), np.frombuffer(run["refs"], np.uint32).astype(np.int64)
+        at = np.minimum(np.searchsorted(held, mine), len(held) - 1)
+        shared |= held[at] == mine
+        hit = mine[np.minimum(np.searchsorted(mine, held), len(mine) - 1)] == held
+        for ref, places in dealt(where[hit]):
+            out.append((0, run["names"][16 * ref : 16 * ref + 16], HELD, held[hit][places].tobytes()))
+    answer = np.repeat(shared, np.diff(np.r_[first, len(keys)]))
+    for ref, places in dealt(refs):
+        out.append((row["shard"], row["names"][16 * ref : 16 * ref + 16], 0, packed_bits(answer[places])))
+    made = blocks_table(out)
+    release()
+    return made
 
 
 class _Dedup:
@@ -281,8 +284,7 @@ def _resolve_windows(blocks: list[dict]):
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_text (UTF-8), kept_sha256; a batch without history."""
     batch = _Dedup(docs, window)
-    nothing = pa.table([pa.array([], t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())], ["shard", "keys", "refs", "names"])
-    return batch.result(batch.asked().groupBy("shard").applyInArrow(lambda table: _shared(table, nothing), BLOCK))
+    return batch.result(batch.asked().groupBy("shard").applyInArrow(lambda table: _shared(run := _new_run(table), run.slice(0, 0)), BLOCK))
 
 
 class WindowIndex:
@@ -319,6 +321,7 @@ class WindowIndex:
 
     def add(self, docs: DataFrame) -> DataFrame:
         """The rows of substring_dedup() for a new batch, held against all batches before it as well; the batch is in the index afterwards."""
+        self.compact()
         live = self.runs()
         number = live[-1][1] + 1 if live else 0
         fs, old = self._fs(f"chunks/{number}")
@@ -327,20 +330,22 @@ class WindowIndex:
         if self.shards is None:
             self.shards = batch.steps.shards = self.room * batch.steps.shards
             self.spark.range(1).selectExpr(f"{self.shards} AS shards", f"{self.window} AS window").write.mode("overwrite").parquet(f"{self.path}/head")
-        asked = materialize(batch.asked(), "op10-anchors")
+        run = (number, number, batch.exchange.table.agg(F.sum("n_bytes")).first()[0] or 0)
+        batch.asked().groupBy("shard").applyInArrow(_new_run, RUN).write.parquet(f"{self.path}/runs/{'-'.join(map(str, run))}")
+        new = self._read([run])
         if live:
-            seen = asked.groupBy("shard").cogroup(self._read(live).groupBy("shard")).applyInArrow(lambda left, right: _shared(left, right), BLOCK)
+            seen = new.groupBy("shard").cogroup(self._read(live).drop("many").groupBy("shard")).applyInArrow(lambda left, right: _shared(left, right), BLOCK)
         else:
-            seen = asked.groupBy("shard").applyInArrow(lambda table: _shared(table, table.slice(0, 0)), BLOCK)
+            seen = new.groupBy("shard").applyInArrow(lambda table: _shared(table, table.slice(0, 0)), BLOCK)
         seen = materialize(seen, "op10-shared")
-        size = batch.exchange.table.agg(F.sum("n_bytes")).first()[0] or 0
-        asked.groupBy("shard").applyInArrow(_new_run, RUN).write.parquet(f"{self.path}/runs/{number}-{number}-{size}")
-        self._compact()
         history = self.spark.read.schema(PACKED).parquet(*[f"{self.path}/chunks/{k}" for k in range(number)]) if number else None
         return batch.result(seen, history)
 
-    def _compact(self) -> None:
-        """Merge the last run into the one before while that is less than twice its size; the merged run takes their place once it is whole."""
+    def compact(self) -> None:
+        """Merge the last run into the one before while that is less than twice its size; the merged run takes their place once it is whole.
+
+        Done before a batch is added, when no batch reads the runs any more.
+        """
         live = self.runs()
         while len(live) > 1 and live[-2][2] < 2 * live[-1][2]:
             a, b = live[-2:]
