@@ -176,7 +176,50 @@ def is_public(node: DataFrame) -> Column:
     return F.col("type").isin(*CODE_TYPES) & ~is_test(F.col("id"), F.col("file_path")) & ~private & ~F.lower(label).isin(*vocab.GENERIC_NAMES) & ~warned
 
 
-def styled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes as they are drawn: size by degree, colour by type. Drawing itself is left to other tools."""
-    colour = F.when(F.col("type") == "File", "#4A90D9").when(F.col("type") == "Module", "#7ED321").when(F.col("type") == "Class", "#F5A623").when(F.col("type") == "Function", "#9B59B6").otherwise("#E74C3C")
-    return nodes.join(degrees(edges).select("id", "degree"), "id", "left").select("id", "label", "type", colour.alias("colour"), (F.lit(300) + 60 * F.coalesce("degree", F.lit(0))).alias("size"))
+# Colours by type and relationship, the base size of a view's nodes, and what a degree adds.
+NODE_COLOURS = {"File": "#4A90D9", "Module": "#7ED321", "Class": "#F5A623", "Function": "#9B59B6", "Method": "#E74C3C"}
+EDGE_COLOURS = {"imports": "#7ED321", "contains": "#4A90D9", "inherits": "#E67E22", "instantiates": "#9B59B6", "decorates": "#1ABC9C", "calls": "#E74C3C", "overrides": "#F39C12"}
+OTHER_NODE = "#95A5A6"
+BASE_SIZES = {"architecture": 700, "class": 800, "call": 600}
+DEGREE_SIZE = 60
+
+
+def _coloured(column: str, colours: dict[str, str]) -> Column:
+    return reduce(lambda w, c: w.when(F.col(column) == c[0], c[1]), list(colours.items()), F.when(F.lit(False), ""))
+
+
+def drawing(nodes: DataFrame, edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """What is drawn of a view: nodes (id, label, type, colour, size) and edges (source, target, relationship, colour); both empty if it has no edge.
+
+    A node's degree counts the pairs it is drawn in, a loop twice; sources of
+    decorations that are no nodes are drawn too, without a type.
+    """
+    kept = view(nodes, edges, name)[1]
+    pairs = kept.select("source", "target").distinct()
+    degree = pairs.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    known = degree.join(nodes.select("id", "label", "type"), "id", "left")
+    drawn = known.select("id", F.coalesce("label", "id").alias("label"), "type", F.coalesce(_coloured("type", NODE_COLOURS), F.lit(OTHER_NODE)).alias("colour"), (F.lit(BASE_SIZES[name]) + DEGREE_SIZE * F.col("degree")).alias("size"))
+    return drawn, kept.select("source", "target", "relationship", _coloured("relationship", EDGE_COLOURS).alias("colour"))
+
+
+def save_picture(nodes: DataFrame, edges: DataFrame, name: str, path: str) -> bool:
+    """Draw a view on the driver, with matplotlib and networkx where they are installed; whether there was anything to draw."""
+    try:
+        import matplotlib
+        import networkx
+    except ImportError as missing:
+        raise RuntimeError(f"pictures need matplotlib and networkx: {missing}") from missing
+    matplotlib.use("Agg")
+    from matplotlib import pyplot
+
+    drawn, kept = (df.collect() for df in drawing(nodes, edges, name))
+    if not kept:
+        return False
+    graph = networkx.DiGraph([(e["source"], e["target"]) for e in kept])
+    facts, colour = {n["id"]: n for n in drawn}, {(e["source"], e["target"]): e["colour"] for e in kept}
+    figure, axes = pyplot.subplots(figsize=(18, 12))
+    networkx.draw_networkx(graph, networkx.spring_layout(graph, seed=42), ax=axes, node_color=[facts[n]["colour"] for n in graph], node_size=[facts[n]["size"] for n in graph], edge_color=[colour[e] for e in graph.edges], labels={n: facts[n]["label"] for n in graph}, font_size=7)
+    axes.set_title(f"{name} graph")
+    figure.savefig(path)
+    pyplot.close(figure)
+    return True

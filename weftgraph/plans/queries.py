@@ -232,9 +232,33 @@ def _(spark, d):
     return nodes.filter(views.is_public(nodes)).select("id")
 
 
-@query("styled_nodes", f"{G} {_PLACES} SELECT nodes.id, label, type, CASE type WHEN 'File' THEN '#4A90D9' WHEN 'Module' THEN '#7ED321' WHEN 'Class' THEN '#F5A623' WHEN 'Function' THEN '#9B59B6' ELSE '#E74C3C' END AS colour, 300 + 60 * coalesce(degree, 0) AS size FROM nodes LEFT JOIN degree ON degree.id = nodes.id")
+def _drawing_sql(name: str) -> str:
+    types, rels = views.VIEWS[name]
+    return f"""allowed AS (SELECT * FROM nodes WHERE type IN ({quoted(types)})), kept AS (SELECT * FROM edges WHERE relationship IN ({quoted(rels)}) AND target IN (SELECT id FROM allowed) AND (relationship = 'decorates' OR source IN (SELECT id FROM allowed))),
+pairs AS (SELECT DISTINCT source, target FROM kept), drawn AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM pairs UNION ALL SELECT target FROM pairs) GROUP BY id)"""
+
+
+_DRAWN = "SELECT drawn.id, coalesce(label, drawn.id) AS label, type, CASE type WHEN 'File' THEN '#4A90D9' WHEN 'Module' THEN '#7ED321' WHEN 'Class' THEN '#F5A623' WHEN 'Function' THEN '#9B59B6' WHEN 'Method' THEN '#E74C3C' ELSE '#95A5A6' END AS colour, {base} + 60 * degree AS size FROM drawn LEFT JOIN nodes ON nodes.id = drawn.id"
+_DRAWN_EDGES = "SELECT source, target, relationship, CASE relationship WHEN 'imports' THEN '#7ED321' WHEN 'contains' THEN '#4A90D9' WHEN 'inherits' THEN '#E67E22' WHEN 'instantiates' THEN '#9B59B6' WHEN 'decorates' THEN '#1ABC9C' WHEN 'calls' THEN '#E74C3C' ELSE '#F39C12' END AS colour FROM kept"
+
+
+@query("drawing_nodes", f"{G}, {_drawing_sql('call')} {_DRAWN.replace('{base}', '600')}")
+def _(spark, d):
+    return views.drawing(*adapter.graph(spark, d, keep=True), "call")[0]
+
+
+@query("drawing_edges", f"{G}, {_drawing_sql('architecture')} {_DRAWN_EDGES}")
+def _(spark, d):
+    return views.drawing(*adapter.graph(spark, d, keep=True), "architecture")[1]
+
+
+_PATH = "CASE length(id) % 6 WHEN 0 THEN 'app/tests/x.py' WHEN 1 THEN 'app/test_x.py' WHEN 2 THEN 'app/conftest.py' WHEN 3 THEN CAST(NULL AS STRING) WHEN 4 THEN 'app/contest.py' ELSE 'Test/x.py' END"
+
+
+@query("test_symbols", f"{G} SELECT id, CASE length(id) % 6 WHEN 3 THEN contains(lower(id), 'test') WHEN 4 THEN false ELSE true END AS is_test FROM nodes")
 def _(spark, d):
-    return views.styled(*adapter.graph(spark, d, keep=True))
+    nodes = adapter.graph(spark, d)[0].withColumn("file_path", F.expr(_PATH))
+    return nodes.select("id", views.is_test(F.col("id"), F.col("file_path")).alias("is_test"))
 
 
 # -- text

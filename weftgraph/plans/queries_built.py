@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..operators import build, contexts, parse, resolve, views
+from ..operators import answer, build, contexts, parse, resolve, views
 from ..sources import repo_files
 from ..storage import cut
 from . import adapter
-from .queries import _AROUND, _SCORES, _SEEDS, G, _seeds, query, quoted
+from .queries import _AROUND, _DRAWN, _INTENT, _SCORES, _SEEDS, G, _drawing_sql, _seeds, query, quoted
 from .queries_more import _FILES, _files
 
 _ROLE = "CASE {k} % 3 WHEN 0 THEN 'Parser' WHEN 1 THEN 'Builder' ELSE 'Router' END"
@@ -78,6 +78,21 @@ for _rel in vocab.RELATIONSHIPS:
         return _built(spark, d)[1].filter(F.col("relationship") == rel).select("source", "target")
 
 
+_BUILT = f"""{_PLACES}, edges AS MATERIALIZED ({_EDGES}), nodes AS (SELECT file AS id, 'File' AS type, split_part(file, '/', 2) AS label FROM file UNION ALL SELECT name, 'Class', name FROM cls UNION ALL SELECT DISTINCT id, 'Method', name FROM met UNION ALL SELECT name, 'Function', name FROM fun)"""
+
+
+@query("built_drawing_nodes", f"{_BUILT}, {_drawing_sql('class')} {_DRAWN.replace('{base}', '800')}")
+def _(spark, d):
+    nodes, edges = _built(spark, d)
+    return views.drawing(cut(nodes), cut(edges), "class")[0]
+
+
+@query("built_class_view", f"{_BUILT}, {_drawing_sql('class')} SELECT source, target, relationship FROM kept")
+def _(spark, d):
+    nodes, edges = _built(spark, d)
+    return views.view(cut(nodes), cut(edges), "class")[1].select("source", "target", "relationship")
+
+
 @query("parsed_symbols", f"""{_PLACES} SELECT file AS file_path, 'Class' AS kind, NULL::VARCHAR AS owner, name, 'register' AS decorators, '' AS calls, CASE WHEN k >= 5 THEN {_CLASS.format(k='(k - 5)')} || ',BaseModel' ELSE 'BaseModel' END AS bases FROM cls
 UNION ALL SELECT file, 'Method', owner, name, array_to_string(list_filter([CASE WHEN o % 7 = 0 THEN 'cached' END, CASE WHEN o % 11 = 0 THEN 'app.route' END], lambda x: x IS NOT NULL), ','),
  array_to_string(list_sort(list_distinct(list_filter(['load_' || o % {_CALLS}, {_CLASS.format(k='(o % 25)')}, {_METHOD.format(k='(o + 1)')}, CASE WHEN o % 11 = 0 THEN 'route' END], lambda x: x IS NOT NULL))), ','), CASE WHEN k >= 5 THEN {_CLASS.format(k='(k - 5)')} || ',BaseModel' ELSE 'BaseModel' END FROM met
@@ -185,3 +200,20 @@ def _(spark, d):
     ranked = resolve.rank(nodes, edges, adapter.questions(spark), 3)
     total = F.aggregate(F.map_values(resolve.diagnostics(F.col("reason"))), F.lit(0), lambda a, x: a + x)
     return ranked.select("question_id", "rank", "id", "score", total.cast("double").alias("explained"))
+
+
+_HEADS = f"""WITH {_INTENT}, kws AS (SELECT question_id, string_agg(w, ', ' ORDER BY o) AS k FROM kw GROUP BY question_id), ints AS (SELECT question_id, string_agg(intent, ', ' ORDER BY rank) AS i FROM intents GROUP BY question_id)"""
+
+
+@query("context_heads", f"{_HEADS} SELECT q.question_id::BIGINT AS question_id, concat_ws(chr(10), 'QUESTION', question, '', 'DETECTED INTENT', coalesce(i, 'unknown'), '', 'KEYWORDS', coalesce(k, '(none)'), '', '') AS head FROM q LEFT JOIN kws ON kws.question_id = q.question_id LEFT JOIN ints ON ints.question_id = q.question_id")
+def _(spark, d):
+    nodes, edges = adapter.graph(spark, d, keep=True)
+    packed = answer.packages(nodes, edges, adapter.questions(spark))
+    return packed.select("question_id", F.substring_index("context", answer.RULE, 1).alias("head"))
+
+
+@query("context_sources", f"{_SCORES}, total AS (SELECT question_id, id, type, ({' + '.join(resolve.SIGNALS)})::DOUBLE AS score FROM sig), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM total) WHERE rank <= 5) SELECT question_id::BIGINT AS question_id, best.id, best.type, label, score, file_path FROM best JOIN nodes ON nodes.id = best.id")
+def _(spark, d):
+    nodes, edges = adapter.graph(spark, d, keep=True)
+    packed = answer.packages(nodes, edges, adapter.questions(spark))
+    return packed.select("question_id", F.explode("sources").alias("s")).select("question_id", "s.id", "s.type", "s.label", "s.score", "s.file_path")

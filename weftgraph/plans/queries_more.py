@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +52,13 @@ def _(spark, d):
     return repo_files.changed(f.filter("mtime % 7 <> 0"), new)
 
 
-@query("module_origin", "SELECT m, CASE WHEN m IN ('os', 'json.decoder') THEN 'stdlib' WHEN m = 'app.core' THEN 'internal' ELSE 'third_party' END AS origin FROM (VALUES ('os'), ('json.decoder'), ('app.core'), ('numpy.linalg'), ('osx')) v(m)")
-def _(spark, d):
-    import sys
+_MODULES = "SELECT DISTINCT concat(CASE p_partkey % 5 WHEN 0 THEN 'os' WHEN 1 THEN 'app' WHEN 2 THEN 'json' WHEN 3 THEN 'application' ELSE lower(replace(p_brand, '#', '_')) END, CASE p_partkey % 3 WHEN 0 THEN '' ELSE concat('.m', CAST(p_size AS STRING)) END) AS m FROM part"
 
-    m = spark.createDataFrame([("os",), ("json.decoder",), ("app.core",), ("numpy.linalg",), ("osx",)], "m string")
-    return m.select("m", T.module_origin("m", ("app",), tuple(sorted(sys.stdlib_module_names))).alias("origin"))
+
+@query("module_origin", f"SELECT m, CASE WHEN split_part(m, '.', 1) IN ({quoted(sorted(sys.stdlib_module_names))}) THEN 'stdlib' WHEN split_part(m, '.', 1) = 'app' THEN 'internal' ELSE 'third_party' END AS origin FROM ({_MODULES})")
+def _(spark, d):
+    adapter.tables(spark, d, "part")
+    return spark.sql(_MODULES).select("m", T.module_origin("m", ("app",), tuple(sorted(sys.stdlib_module_names))).alias("origin"))
 
 
 # -- retrieval metrics: events stand for retrieved items
@@ -130,10 +133,13 @@ def _(spark, d):
     return evaluate.extremes(_judged(spark, d))[0].select("question_id", "overall")
 
 
-@query("rate_limit_flag", "SELECT m, m IN ('Error 429', 'Too Many Requests', 'daily QUOTA', 'rate_limit hit') AS limited FROM (VALUES ('Error 429'), ('Too Many Requests'), ('daily QUOTA'), ('rate_limit hit'), ('timeout'), ('')) v(m)")
+_MESSAGES = "SELECT doc_id, concat(CASE doc_id % 7 WHEN 0 THEN 'Too Many Requests' WHEN 1 THEN 'daily Quota' WHEN 2 THEN 'RATE_LIMIT hit' WHEN 3 THEN 'rate limited' WHEN 4 THEN 'timeout' WHEN 5 THEN 'RESOURCE_EXHAUSTED' ELSE '' END, ' ', CAST(420 + doc_id % 20 AS STRING)) AS message, CAST(CASE WHEN doc_id % 11 = 0 THEN 429 ELSE 500 END AS INT) AS code FROM labels"
+
+
+@query("rate_limit_flag", f"SELECT doc_id, code = 429 OR len(list_filter(['429', 'rate limit', 'rate_limit', 'quota', 'resource_exhausted', 'too many requests'], lambda s: contains(lower(message), s))) > 0 AS limited FROM ({_MESSAGES})")
 def _(spark, d):
-    m = spark.createDataFrame([(x,) for x in ("Error 429", "Too Many Requests", "daily QUOTA", "rate_limit hit", "timeout", "")], "m string")
-    return m.select("m", T.rate_limited(F.lit(None).cast("int"), F.lit(None).cast("string"), F.col("m")).alias("limited"))
+    adapter.tables(spark, d, "labels")
+    return spark.sql(_MESSAGES).select("doc_id", T.rate_limited(F.col("code"), F.lit(None).cast("string"), F.col("message")).alias("limited"))
 
 
 # -- question generation

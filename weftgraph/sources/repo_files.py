@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -125,8 +125,8 @@ def framework(spark: SparkSession, files: DataFrame) -> str | None:
     return row["f"] if row else None
 
 
-def repository_type(found: Column) -> Column:
-    return F.when(found.isin("FastAPI", "Django", "Flask"), "Backend API").otherwise("General Software Project")
+def repository_type(found: str | None) -> str:
+    return "Backend API" if found in ("FastAPI", "Django", "Flask") else "General Software Project"
 
 
 def summary(spark: SparkSession, path: str) -> dict:
@@ -137,7 +137,7 @@ def summary(spark: SparkSession, path: str) -> dict:
     totals = files.agg(F.count_if(~F.col("is_dir")), F.count_if("is_dir"), F.sum(F.when(~F.col("is_dir"), F.col("size")))).first()
     found = framework(spark, repo_files(spark, path, content=True).filter("depth = 1"))
     out = {
-        "repository_name": os.path.basename(path.rstrip("/")), "repository_path": path, "framework": found, "repository_type": "Backend API" if found else "General Software Project",
+        "repository_name": os.path.basename(path.rstrip("/")), "repository_path": path, "framework": found, "repository_type": repository_type(found),
         "total_files": totals[0], "total_directories": totals[1], "repository_size_bytes": totals[2] or 0, "language_distribution": count("language"),
         "file_extension_distribution": count("extension"), "file_category_distribution": count("category"),
         "top_level_directories": sorted(r[0] for r in files.filter("is_dir AND depth = 1").select("name").collect()),
