@@ -239,11 +239,6 @@ class Tree:
         best = max(range(len(points)), key=points.__getitem__)
         if not points[best]:
             return self._fallback()
-        article = best
-        while self.parent[article] > 0 and self.tag[article] not in ("article", "main"):
-            article = self.parent[article]
-        if self.tag[article] in ("article", "main") and self.length[best] >= 0.25 * self.length[article]:
-            best = article  # the page itself says where its main text is
         around = [x for x in self.kids[self.parent[best]] if not isinstance(x, str) and not self.cut[x]]
         least = max(10.0, 0.2 * points[best])
         return [x for x in around if x == best or self._joins(x, x < best, points, least)]
