@@ -50,7 +50,7 @@ class Chunk:
         sizes, joined = np.array([len(t) for t in self.texts], np.int64), b"".join(self.texts)
         name = hashlib.blake2b(ids + nulls + sizes.tobytes(), digest_size=16)
         name.update(joined)
-        row = (name.digest(), ids, nulls, sizes.tobytes(), zstandard.compress(joined, 3) if texts else b"", zstandard.compress(notes, 1))
+        row = (name.digest(), ids, nulls, sizes.tobytes(), zstandard.compress(joined, 3) if texts else b"", zstandard.compress(notes, 3))
         return pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in row], pa.array([len(joined)], pa.int64())], ["chunk", "ids", "nulls", "sizes", "texts", "notes", "n_bytes"])
 
     @classmethod

@@ -70,16 +70,16 @@ class Words:
     def pack(texts: list[bytes]) -> bytes:
         words = [t.split() for t in texts]  # bytes: white space is ASCII's
         known = {w: k for k, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
-        number = np.fromiter((known[w] for ws in words for w in ws), np.uint32, sum(map(len, words)))
-        joined, narrow = b" ".join(known), len(known) <= 65536
-        head = np.array([len(texts), len(joined), narrow, *map(len, words)], np.int64)
-        return head.tobytes() + joined + number.astype(np.uint16 if narrow else np.uint32).tobytes()
+        number = np.fromiter((known[w] for ws in words for w in ws), "<u4", sum(map(len, words)))
+        joined, planes = b" ".join(known), -(-max(1, len(known) - 1).bit_length() // 8)
+        head = np.array([len(texts), len(joined), planes, *map(len, words)], np.int64)
+        return head.tobytes() + joined + number.view(np.uint8).reshape(-1, 4).T[:planes].tobytes()  # low bytes first: the others are mostly alike
 
     @classmethod
     def unpack(cls, raw: bytes, window: int) -> Words:
-        n, size, narrow = np.frombuffer(raw, np.int64, 3).tolist()
+        n, size, planes = np.frombuffer(raw, np.int64, 3).tolist()
         length, at = np.frombuffer(raw, np.int64, n, 24), 24 + 8 * n
-        number = np.frombuffer(raw, np.uint16 if narrow else np.uint32, int(length.sum()), at + size).astype(np.int64)
+        number = sum(np.frombuffer(raw, np.uint8, int(length.sum()), at + size + k * int(length.sum())).astype(np.int64) << 8 * k for k in range(planes))
         return cls(raw[at : at + size].split(), np.split(number, np.cumsum(length)[:-1]) if n else [], window)
 
     def anchors(self) -> np.ndarray:
@@ -211,7 +211,7 @@ class _Steps:
         out = []
         for s, at in dealt(shard_of(_half(digest), self.shards)):
             ids, number = np.unique(least[at], return_inverse=True)
-            part = np.array([len(at), len(ids)], np.int64).tobytes() + ids.tobytes() + number.astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes()
+            part = np.array([len(at), len(ids)], np.int64).tobytes() + ids.tobytes() + number.astype(_number(len(ids))).tobytes()
             out.append((s, name, kind, part + digest[at].tobytes()))
         return out
 
@@ -263,6 +263,11 @@ class _Steps:
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
 
+def _number(m: int) -> np.dtype:
+    """What holds places among m ids."""
+    return np.dtype(np.uint8 if m <= 256 else np.uint16 if m <= 65536 else np.uint32)
+
+
 def _resolve_windows(blocks: list[dict]):
     asked, index = [], RunIndex(np.minimum)
     for b in blocks:
@@ -271,7 +276,7 @@ def _resolve_windows(blocks: list[dict]):
             continue
         raw = b["payload"]
         n, m = np.frombuffer(raw, np.int64, 2).tolist()
-        kind = np.dtype(np.uint16 if m < 65536 else np.uint32)
+        kind = _number(m)
         ids = np.frombuffer(raw, np.int64, m, 16)[np.frombuffer(raw, kind, n, 16 + 8 * m)]
         digest = np.frombuffer(raw, _DIGEST, n, 16 + 8 * m + kind.itemsize * n)
         index.add(digest, ids)
