@@ -21,6 +21,13 @@ def graph(spark):
     return spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
 
 
+class Canned:
+    """Stands for a builder: any object with build() will do."""
+
+    def build(self, questions, k, hops):
+        return questions.select("question_id", "question", F.lit(1).alias("resolved"), F.lit("ctx").alias("context"))
+
+
 def test_blocks_of_a_hub(spark, graph):
     nodes, edges = graph
     rows = {r["id"]: r for r in contexts.node_blocks(nodes, edges, nodes.filter("id IN ('pay', 'Cart', 'a.py')").select("id")).collect()}
@@ -53,17 +60,13 @@ def test_engine(spark, graph):
         return generate
 
     with pytest.raises(answer.ProviderError, match="no model"):
-        answer.engine(*graph, provider=broken).answer("How is pay handled?")
+        answer.Engine(Canned(), broken).answer("How is pay handled?")
     batch = engine.answers(spark.createDataFrame([(1, "How is pay handled?"), (2, " ")], "question_id long, question string"), k=1)
     assert {r["question_id"]: r["status"] for r in batch.collect()} == {1: "done", 2: "failed"}
 
-    class Canned:  # any builder and prompt will do
-        def build(self, questions, k, hops):
-            return questions.select("question_id", "question", F.lit(1).alias("resolved"), F.lit("ctx").alias("context"))
-
     shout = answer.Engine(Canned(), lambda: lambda s, u: u.upper(), lambda p: p.withColumn("system_prompt", F.lit("s")).withColumn("user_prompt", F.concat("context", F.lit("!"))))
     assert shout.answer("x?")["answer"] == "CTX!"
-    timed = curate.timed(engine, "How is pay handled?")
+    timed = curate.timed(shout, "How is pay handled?")
     assert timed["total_time"] >= timed["retrieval_time"] > 0 and timed["generation_time"] >= 0
 
 
@@ -86,7 +89,7 @@ def test_runs_resume(spark, graph, tmp_path):
     def engines(name):
         if name == "gone":
             raise OSError("no such repository")
-        return answer.engine(*graph, provider=provider)
+        return answer.Engine(Canned(), provider)
 
     for attempt in (1, 2, 3):
         store.generate(kept, data, engines)

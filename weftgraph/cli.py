@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import api
 from .operators import answer, curate, report, resolve
+from .storage import cut
 
 
 def _analyze(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -22,14 +23,20 @@ def _graph(spark: SparkSession, a: argparse.Namespace) -> None:
     edges.write.mode("overwrite").parquet(f"{a.out}/edges")
 
 
+def _built(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A graph that is read more than once: parsed and joined once."""
+    nodes, edges = api.build_graph(spark, path)
+    return cut(nodes), cut(edges)
+
+
 def _ask(spark: SparkSession, a: argparse.Namespace) -> None:
-    nodes, edges, _ = api.cached_graph(spark, a.path, a.cache) if a.cache else (*api.build_graph(spark, a.path), False)
+    nodes, edges = api.cached_graph(spark, a.path, a.cache)[:2] if a.cache else _built(spark, a.path)
     row = answer.engine(nodes, edges, k=a.top_k, hops=a.max_hops).answer(a.question)
     print(row["context"] if a.context else row["answer"])
 
 
 def _metrics(spark: SparkSession, a: argparse.Namespace) -> None:
-    nodes, edges = api.build_graph(spark, a.path)
+    nodes, edges = _built(spark, a.path)
     asked = curate.runnable(curate.read_benchmark(spark, a.benchmark)).withColumn("question_id", F.xxhash64("repository", "question"))
     measured = curate.run_benchmark(asked, lambda q: resolve.rank(nodes, edges, q, 5)).withColumn("retrieval_time", F.lit(0.0))
     report.write(report.retrieval_report(measured), a.out)
