@@ -213,3 +213,21 @@ def test_command_line(spark, tmp_path, capsys):
     a = cli.parser().parse_args(["graph", str(repo), str(tmp_path / "g")])
     a.run(spark, a)
     assert spark.read.parquet(str(tmp_path / "g/edges")).count() == 4
+
+
+def test_hosted_providers_talk_to_their_clients():
+    from types import SimpleNamespace as N
+
+    from weftgraph.operators import providers
+
+    sent = []
+    messages = N(create=lambda **x: (sent.append(x), N(content=[N(type="text", text="a"), N(type="tool"), N(type="text", text="b")]))[1])
+    assert providers.anthropic("m", client=N(messages=messages))()("sys", "usr") == "ab"
+    assert sent == [{"model": "m", "max_tokens": 1024, "system": "sys", "messages": [{"role": "user", "content": "usr"}]}]
+    models = N(generate_content=lambda **x: (sent.append(x), N(text=None))[1])
+    assert providers.gemini("g", client=N(models=models))()("sys", "usr") == "" and sent[1] == {"model": "g", "contents": "usr", "config": {"system_instruction": "sys"}}
+    assert providers.function(lambda s, u: s + u)()("a", "b") == "ab"
+    with pytest.raises(ValueError):
+        providers.anthropic("")
+    with pytest.raises(ImportError, match="needs the package"):
+        providers._imported("no_such_module_here", "x")
