@@ -74,3 +74,21 @@ def test_filters_lose_no_pair():
             if len(a) and len(b) and jaccard.similar(a, b):
                 assert len(np.intersect1d(jaccard.prefix(a, hot), jaccard.prefix(b, hot)))
                 assert jaccard._possible(len(a), len(b), jaccard.parity(a), jaccard.parity(b), jaccard.PERCENT)
+
+
+def test_sketches_bound_differences_from_below():
+    import numpy as np
+
+    from weftgraph.llm import jaccard
+
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 62, n).astype(np.uint64)) for n in (3, 40, 130, 500, 500, 5000)]
+    sets += [np.unique(np.r_[s[: len(s) * 9 // 10], r.integers(0, 1 << 62, 5).astype(np.uint64)]) for s in sets]
+    made = [jaccard.sketch(s).tobytes() for s in sets]
+    table, every = jaccard.Sketches(made), np.arange(len(sets))
+    for k, s in enumerate(sets):
+        true = [len(np.setxor1d(s, t)) for t in sets]
+        got = table.differ(k, every)
+        assert got.tolist() == [jaccard._differ(made[k], m) for m in made] and all(g <= t for g, t in zip(got, true, strict=True)) and got[k] == 0
+    assert table.differ(0, every[:0]).tolist() == []
+    assert table.differ(5, np.array([11]))[0] > 0.8 * len(np.setxor1d(sets[5], sets[11]))  # and not far from them

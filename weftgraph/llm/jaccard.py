@@ -109,6 +109,34 @@ def _differ(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+class Sketches:
+    """Sketches of some sets, compared many at a time; folded ones are kept by width."""
+
+    def __init__(self, sketches: list[bytes]):
+        words = [np.frombuffer(x, "<u8") for x in sketches]
+        self.width = np.array([len(w) for w in words], np.int64)
+        self.row, self.stacks = np.zeros(len(words), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.row[at] = np.arange(len(at))
+            self.stacks[w, w] = np.stack([words[k] for k in at])
+
+    def _folded(self, width: int, to: int) -> np.ndarray:
+        if (width, to) not in self.stacks:
+            wide = self._folded(width, 2 * to)
+            self.stacks[width, to] = wide[:, :to] ^ wide[:, to:]
+        return self.stacks[width, to]
+
+    def differ(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Lower bounds of the differences of set k and ``others``."""
+        out, own = np.zeros(len(others), np.int64), int(self.width[k])
+        for w in np.unique(self.width[others]).tolist():
+            at, to = np.flatnonzero(self.width[others] == w), min(w, own)
+            one = self._folded(own, to)[self.row[k]]
+            out[at] = np.bitwise_count(self._folded(w, to)[self.row[others[at]]] ^ one).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _possible(size_a, size_b, bits_a, bits_b, percent: int) -> np.ndarray:
     """Whether pairs can be at the limit: the difference of two such sets is at most (100 - percent) / (100 + percent) of their sizes' sum."""
     differ = np.maximum(np.bitwise_count(bits_a ^ bits_b).sum(axis=-1, dtype=np.int64), np.abs(size_a - size_b))
@@ -305,13 +333,13 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
     """Pairs of two blocks of a group (or within one), of different roots, that their sketches don't rule out."""
     i, j, block = table["i"][0].as_py(), table["j"][0].as_py(), table["block"].to_numpy()
     names, size, root = table["a"].to_numpy(), table["size"].to_numpy(), table["root"].to_numpy()
-    bits, sketches = np.frombuffer(b"".join(table["bits"].to_pylist()), "<u8").reshape(-1, WORDS64), table["sketch"].to_pylist()
+    bits, sketches = np.frombuffer(b"".join(table["bits"].to_pylist()), "<u8").reshape(-1, WORDS64), Sketches(table["sketch"].to_pylist())
     one, two, left, right = np.flatnonzero(block == i), np.flatnonzero(block == j), [], []
     for k in one.tolist():
         at = two[root[two] != root[k]]
         at = at[names[at] > names[k]] if i == j else at
         at = at[_possible(size[k], size[at], bits[k], bits[at], percent)]
-        at = at[np.array([(100 + percent) * _differ(sketches[k], sketches[x]) <= (100 - percent) * (size[k] + size[x]) for x in at.tolist()], bool)]
+        at = at[(100 + percent) * sketches.differ(k, at) <= (100 - percent) * (size[k] + size[at])]
         left.append(np.full(len(at), names[k]))
         right.append(names[at])
     return _pairs(np.concatenate(left), np.concatenate(right)).select(["a", "b"]) if left else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
