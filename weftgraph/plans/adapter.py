@@ -41,16 +41,16 @@ UNION ALL
 SELECT {_FILE}, {_FUNCTION}, 'contains', NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 UNION ALL
 SELECT DISTINCT {_FILE}, concat('vendor.', lower(replace(p_brand, '#', '_'))), 'imports', CAST(NULL AS STRING)
-FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_linenumber = 1 AND (n_regionkey + p_size) % 9 = 0
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 UNION ALL
 SELECT c.name, p.name, 'inherits', NULL FROM (SELECT n_nationkey AS k, {_CLASS} AS name FROM nation) c JOIN (SELECT n_nationkey AS k, {_CLASS} AS name FROM nation) p ON p.k = c.k - 5
 UNION ALL
 SELECT {_FUNCTION}, {_CLASS}, 'instantiates', NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000
 UNION ALL
-SELECT lower(c_mktsegment), concat({_CLASS}, '.', {_METHOD}), 'decorates', lower(c_mktsegment) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 7 = 0
+SELECT lower(c_mktsegment), concat({_CLASS}, '.', {_METHOD}), 'decorates', lower(c_mktsegment) FROM customer JOIN nation ON c_nationkey = n_nationkey
 UNION ALL
 SELECT DISTINCT concat({_CLASS}, '.', {_METHOD}), {_FUNCTION}, 'calls', CAST(NULL AS STRING)
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1 AND l_quantity < 10
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON l_suppkey = s_suppkey
 UNION ALL
 SELECT a.id, b.id, 'overrides', NULL
 FROM (SELECT c_custkey AS c, c_nationkey AS k, concat({_CLASS}, '.', {_METHOD}) AS id FROM customer JOIN nation ON c_nationkey = n_nationkey) a
