@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import sys
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,19 +59,38 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def temporary(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared folder; it is deleted when the driver ends."""
+#: Folders by the scratch() they were made in; the first list is for those outside of any.
+_scopes: list[list[str]] = [[]]
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders made inside are deleted at the end, but for those made ``outer``; shuffles that nothing refers to any more go with them."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def temporary(spark: SparkSession, label: str, outer: bool = False) -> str:
+    """A new folder in the shared folder; it is deleted at the end of its scratch(), or when the driver ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     system.mkdirs(folder)
     system.deleteOnExit(folder)
+    _scopes[-2 if outer and len(_scopes) > 1 else -1].append(path)
     return path
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
-    path = f"{temporary(df.sparkSession, label)}/table"
+def materialize(df: DataFrame, label: str, codec: str = "zstd", outer: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage is cut, lost executors cost nothing. ``outer``: see scratch()."""
+    path = f"{temporary(df.sparkSession, label, outer)}/table"
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -65,22 +65,24 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, mo
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, salts: int = SALTS, seed: str = SEED) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) plus size, source_size, target, copies, taken.
-
-    Words are counted once: what is drawn from is written to the shared folder.
-    """
+    """``docs`` (doc_id, text, source, ...) plus size, source_size, target, copies, taken."""
     packed, out = tucked(docs, "doc_id", "text", "source")
     return out(_placed(packed, weights, budget, most, salts, seed), *MADE)
 
 
 def _placed(docs: DataFrame, weights, budget: float, most: float, salts: int, seed: str, texts: bool = True) -> DataFrame:
-    """``docs`` (doc_id, text, source and one struct) with MADE; without ``texts`` the text is left behind."""
+    """``docs`` (doc_id, text, source and one struct) with MADE.
+
+    Without ``texts`` the text is left behind, and words are counted once: what
+    is drawn from is written.  With them, counting again is cheaper than another
+    copy of the texts on disk.
+    """
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
     named = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     keyed = docs.withColumns({
         "size": word_count(), "_key": key, "_salt": F.pmod(F.conv(F.substring(named, 1, 8), 16, 10).cast("long"), F.lit(salts)), "_tie": F.xxhash64("text"),
     })
-    keyed = materialize(keyed if texts else keyed.drop("text"), "op8-sizes")
+    keyed = keyed if texts else materialize(keyed.drop("text"), "op8-sizes")
     by_salt = keyed.groupBy("_key", "size", "_salt").agg(F.count("*").alias("_n"))
     by_size = by_salt.groupBy("_key", "size").agg(F.sum("_n").alias("_n"))
     targets = source_targets(by_size.groupBy("_key").agg(F.sum(F.col("size") * F.col("_n")).alias("_words")), weights, budget, most)

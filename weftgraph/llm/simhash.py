@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import jaccard
-from ._common import bounded_batches, documents, materialize, released, text_bytes, tucked
+from ._common import bounded_batches, documents, materialize, released, scratch, text_bytes, tucked
 from .components import components
 
 SHINGLE = 3
@@ -125,7 +125,8 @@ def _rooted(docs: DataFrame, width: int, radius: int, carry: list[str], sets: bo
     rows = materialize(with_fingerprint(docs, width, carry, sets), "op1-fingerprints")
     classes = materialize(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("least")), "op1-classes")
     near = links(classes, radius)
-    linked = components(near.union(_by_sets(rows)) if sets else near)
+    with scratch(docs.sparkSession):
+        linked = materialize(components(near.union(_by_sets(rows)) if sets else near), "op1-roots", outer=True)
     rows = rows.select(*carry, "_fp")
     rooted = classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("_root"))
     named = rooted.groupBy("_root").agg(F.min("least").alias("component_id"))
