@@ -92,3 +92,43 @@ def test_sketches_bound_differences_from_below():
         assert got.tolist() == [jaccard._differ(made[k], m) for m in made] and all(g <= t for g, t in zip(got, true, strict=True)) and got[k] == 0
     assert table.differ(0, every[:0]).tolist() == []
     assert table.differ(5, np.array([11]))[0] > 0.8 * len(np.setxor1d(sets[5], sets[11]))  # and not far from them
+
+
+def test_sets_that_share_many_shingles_meet_once(spark):
+    r = random.Random(4)
+
+    def copies(n):
+        base = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
+        return [" ".join(base[:k] + [f"edit{k}"] + base[k + 1 :]) for k in r.sample(range(500), n)]
+
+    few, many = copies(24), copies(jaccard.FULL + 8)
+    docs = spark.createDataFrame(list(enumerate(few + many)), "doc_id long, text string").repartition(3)
+    nodes = [jaccard.node(jaccard.shingle_sets([t.encode()])[0]) for t in few]
+    met = [(x["a"], x["b"], x["grp"]) for x in jaccard._met(docs, jaccard.SHINGLE, jaccard.PERCENT)[0].collect()]
+    pairs = [(a, b) for a, b, grp in met if grp is None and a in nodes]
+    assert {frozenset(p) for p in pairs} == {frozenset((a, b)) for a in nodes for b in nodes if a != b}
+    assert len(pairs) < 1.2 * 24 * 23 / 2  # not once for each of the shards their shingles fall on
+    members = [a for a, _, grp in met if grp is not None]
+    assert len(set(members)) == len(many) and len(members) <= 2 * jaccard.FIRSTS * len(many)  # nor once for each shingle
+
+
+def test_first_meetings_keep_every_pair():
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    for _ in range(200):
+        sets = [np.sort(r.choice(np.arange(1, 40, dtype=np.uint64), r.integers(1, 25), replace=False)) for _ in range(6)]
+        keys, owner = np.concatenate(sets), np.repeat(np.arange(6), [len(s) for s in sets])
+        before = jaccard._before(keys, owner)
+        for k, x in enumerate(before):
+            own = sets[owner[k]]
+            assert [v for v in x.tolist() if v] == own[own < keys[k]][: jaccard.FIRSTS].tolist()
+        met = set()
+        for key in np.unique(keys):
+            at = np.flatnonzero(keys == key)
+            x, y = np.meshgrid(at, at)
+            new = jaccard._new(before[x.ravel()], before[y.ravel()]) & (x.ravel() < y.ravel())
+            if jaccard._all_met(before[at]):
+                assert not new.any()
+            met |= set(zip(owner[x.ravel()[new]].tolist(), owner[y.ravel()[new]].tolist(), strict=True))
+        assert met == {(a, b) for a in range(6) for b in range(a + 1, 6) if len(np.intersect1d(sets[a], sets[b]))}

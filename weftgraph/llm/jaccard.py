@@ -7,6 +7,13 @@ hot comes from a sample of documents and only orders them: any choice finds the
 same pairs, a good one compares fewer.  A shard answers which prefix shingles
 stand in two documents (one packed exchange), and sets meet at those (another).
 
+Two sets are compared where they meet first: an entry of a set at a shingle
+carries up to FIRSTS shared shingles that come earlier in its prefix, and two
+sets with one of those in common have met there, with all members of the group
+if all have it.  At the first shingle that two prefixes share no earlier one can
+be common, so that no pair is lost; later meetings go unnoticed only where the
+first FIRSTS have none in common.
+
 Sets that meet are compared by size and by parity bits (a lower bound of the
 difference, so that no pair is lost), what passes by longer sketches of the same
 kind, and what is left by the whole sets.  Where
@@ -30,10 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import bounded_batches, materialize, release, released, text_bytes
-from .blocks import Chunk, Exchange, RunIndex, answered_bits, answers_of, blocks_table, dealt, first_of, keys_with_bits, mixed, packed_bits, read_keys_with_bits, shard_of
+from .blocks import Chunk, Exchange, RunIndex, answered_bits, answers_of, blocks_table, dealt, first_of, keys_with_bits, mixed, packed_bits, read_keys_with_bits, runs, shard_of
 from .components import components
 
 SHINGLE = 5
+FIRSTS = 4
 PERCENT = 80
 FULL = 32  # sets that meet at a shingle and are all compared at once
 OTHERS = 4
@@ -45,7 +53,7 @@ WORDS64 = 4  # parity bits of a set, in 64-bit words
 SKETCH = 1 << 15  # parity bits of a set at most, where pairs are looked at again
 
 _ODD = np.random.default_rng(5).integers(1, 1 << 62, 64, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i8"), ("bits", "<u8", (WORDS64,))])
+_ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i8"), ("bits", "<u8", (WORDS64,)), ("before", "<u8", (FIRSTS,))])
 
 
 def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
@@ -156,6 +164,30 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
 MET = "a long, b long, grp long, size long, bits binary"
 
 
+def _before(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each of ``keys``, in the order of their owner's prefix, up to FIRSTS of the first of that owner that come earlier; zeros for the rest."""
+    first = runs(owner)
+    count = np.diff(np.r_[first, len(owner)])
+    start, out = np.repeat(first, count), np.zeros((len(keys), FIRSTS), np.uint64)
+    for k in range(FIRSTS):
+        late = np.flatnonzero(np.arange(len(keys)) - start > k)
+        out[late, k] = keys[start[late] + k]
+    return out
+
+
+def _new(before_a: np.ndarray, before_b: np.ndarray) -> np.ndarray:
+    """Whether pairs have no earlier shingle in common, as far as is known."""
+    met = np.zeros(len(before_a), bool)
+    for k in range(FIRSTS):
+        met |= ((before_a[:, k, None] == before_b) & (before_b != 0)).any(axis=1)
+    return ~met
+
+
+def _all_met(before: np.ndarray) -> bool:
+    """Whether the members of a group have all an earlier shingle in common; shingles of one member's are distinct."""
+    return any(k and (before == k).any(axis=1).all() for k in before[0].tolist())
+
+
 def _meet(entries: np.ndarray, percent: int) -> pa.Table:
     """Of sets that meet: pairs that may be similar, and the members of full groups."""
     entries = entries[np.lexsort((entries["node"], entries["key"]))]
@@ -165,6 +197,8 @@ def _meet(entries: np.ndarray, percent: int) -> pa.Table:
     left, right, full = [], [], []
 
     def try_(x, y):
+        fits = _new(entries["before"][x], entries["before"][y])
+        x, y = x[fits], y[fits]
         fits = _possible(entries["size"][x], entries["size"][y], entries["bits"][x], entries["bits"][y], percent)
         left.append(entries["node"][x[fits]])
         right.append(entries["node"][y[fits]])
@@ -176,6 +210,8 @@ def _meet(entries: np.ndarray, percent: int) -> pa.Table:
             some = starts[k : k + max(1, AT_ONCE // len(i)), None]
             try_((some + i).ravel(), (some + j).ravel())
     for a, n in zip(first[count > FULL].tolist(), count[count > FULL].tolist(), strict=True):
+        if _all_met(entries["before"][a : a + n]):
+            continue
         x = np.arange(a, a + n)
         full.append(x)
         for other in np.argsort(mixed(entries["node"][x].view(np.uint64) ^ entries["key"][a]))[:OTHERS]:
@@ -271,6 +307,7 @@ def _met(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFram
         keys, owner = sets.keys[shared], sets.owner[shared]
         made = np.zeros(len(keys), _ENTRY)
         made["key"], made["node"], made["size"], made["bits"] = keys, sets.nodes[owner], sets.sizes[owner], sets.bits[owner]
+        made["before"] = _before(keys, owner)
         return blocks_table([(s, chunk.name, 0, made[at].tobytes()) for s, at in dealt(shard_of(keys, shards))] if len(keys) else [])
 
     def meet(table: pa.Table) -> pa.Table:
