@@ -130,3 +130,9 @@ def rate_limited(code: Column, status: Column, message: Column) -> Column:
     signs = ("429", "rate limit", "rate_limit", "quota", "resource_exhausted", "too many requests")
     said = reduce(Column.__or__, [text.contains(s) for s in signs])
     return F.coalesce(code == 429, F.lit(False)) | F.coalesce(F.lower(status).contains("resource_exhausted"), F.lit(False)) | said
+
+
+def half_up(c: Column, digits: int) -> Column:
+    """A double rounded to ``digits`` places as C's round() does it, ties of the scaled double away from zero; formats alone round its decimal digits, another number for some ties."""
+    scale = F.lit(10.0**digits)
+    return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import json_object, judge_score
+from ..functions.text import half_up, json_object, judge_score
 
 CUTS = (1, 3, 5)
 SCORES = ("correctness", "groundedness", "completeness", "hallucination", "overall")
@@ -108,12 +108,12 @@ def signed(value: Column | str, baseline: Column | str, percent: Column) -> Colu
     """A value with its change: 12.3% (+1.0%), or 0.123 (-0.010); no sign where nothing has changed."""
     value, delta = (F.col(value) if isinstance(value, str) else value), (F.col(value) if isinstance(value, str) else value) - (F.col(baseline) if isinstance(baseline, str) else baseline)
     sign = F.when(delta > 0, "+").otherwise("")
-    return F.when(percent, F.format_string("%.1f%% (%s%.1f%%)", value * 100, sign, delta * 100)).otherwise(F.format_string("%.3f (%s%.3f)", value, sign, delta))
+    return F.when(percent, F.format_string("%.1f%% (%s%.1f%%)", half_up(value * 100, 1), sign, half_up(delta * 100, 1))).otherwise(F.format_string("%.3f (%s%.3f)", half_up(value, 3), sign, half_up(delta, 3)))
 
 
 def report(summary: DataFrame, by: str = "repository") -> DataFrame:
     """A Markdown table, one row of text."""
-    cells = [F.coalesce(F.col(by), F.lit("-")), F.col("questions").cast("string"), *[F.format_string("%.1f%%", F.col(f"top_{n}") * 100) for n in CUTS], F.format_string("%.3f", "mrr")]
+    cells = [F.coalesce(F.col(by), F.lit("-")), F.col("questions").cast("string"), *[F.format_string("%.1f%%", half_up(F.col(f"top_{n}") * 100, 1)) for n in CUTS], F.format_string("%.3f", half_up(F.col("mrr"), 3))]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     head = "| Repository | Questions | Top-1 | Top-3 | Top-5 | MRR |\n|---|---|---|---|---|---|"
     rows = F.array_sort(F.collect_list(F.struct((F.col(by) == "ALL").alias("last"), F.col(by).alias("name"), line.alias("line"))))  # one row a repository

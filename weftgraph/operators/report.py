@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import half_up
 from . import evaluate
 from .curate import pass_fail
 
@@ -40,8 +41,8 @@ def write(report: DataFrame, path: str) -> None:
 
 def table_row(label: Column) -> Column:
     """One row of the metrics table."""
-    cells = [F.format_string(f"%{w}.1f%%", F.col(c) * 100) for c, w in zip(METRIC_COLUMNS, WIDTHS, strict=True)]
-    return F.concat(F.lit("| "), F.rpad(label, F.greatest(F.length(label), F.lit(28)), F.lit(" ")), F.lit(" | "), F.concat_ws(" | ", *cells, F.format_string("%5.3f", "mrr")), F.lit(" |"))
+    cells = [F.format_string(f"%{w}.1f%%", half_up(F.col(c) * 100, 1)) for c, w in zip(METRIC_COLUMNS, WIDTHS, strict=True)]
+    return F.concat(F.lit("| "), F.rpad(label, F.greatest(F.length(label), F.lit(28)), F.lit(" ")), F.lit(" | "), F.concat_ws(" | ", *cells, F.format_string("%5.3f", half_up(F.col("mrr"), 3))), F.lit(" |"))
 
 
 def retrieval_report(measured: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def evaluation_report(results: DataFrame) -> DataFrame:
     summary = evaluate.recommendations(evaluate.judge_summary(results))
     total = summary.filter("repository = 'ALL'")
     of = lambda c: F.col(c).cast("string")
-    rate = F.format_string("%.1f%%", F.col("pass_rate") * 100)
+    rate = F.format_string("%.1f%%", half_up(F.col("pass_rate") * 100, 1))
     scores = F.concat_ws(", ", *[F.concat(F.lit(f"{s}="), of(s)) for s in evaluate.SCORES[:4]])
     shown = [F.concat(F.lit("- **["), "repository", F.lit(" / "), "category", F.lit("]** "), "question"), F.concat(F.lit("  - Overall: "), of("overall"), F.lit("/5 ("), scores, F.lit(")")), F.concat(F.lit("  - Reason: "), "reason")]
     best, worst = evaluate.extremes(results)
@@ -116,7 +117,7 @@ def regression_report(benchmark: DataFrame, overall: DataFrame, failing: DataFra
     spread = lambda section, c: lines(section, benchmark.groupBy(c).count(), [F.col(c)], F.concat(F.lit("- **"), c, F.lit("**: "), of("count"), F.lit(" questions")))
     title = lambda section, *t: lines(section, benchmark.sparkSession.range(1), [], *t)
     names = {"top_1": "Top-1 Accuracy", "top_3": "Top-3 Accuracy", "top_5": "Top-5 Accuracy", "mrr": "Mean Reciprocal Rank (MRR)"}
-    plain = lambda c, m: F.format_string("%.3f", c) if m == "mrr" else F.format_string("%.1f%%", c * 100)
+    plain = lambda c, m: F.format_string("%.3f", half_up(c, 3)) if m == "mrr" else F.format_string("%.1f%%", half_up(c * 100, 1))
     rows = [F.concat(F.lit(f"| **{t}** | "), plain(F.lit(float(baseline[m])), m), F.lit(" | "), plain(F.col(m), m), F.lit(" | "), evaluate.signed(F.col(m), F.lit(float(baseline[m])), F.lit(m != "mrr")), F.lit(" |")) for m, t in names.items()]
     return together([
         title(0, "# Benchmark Generation Report", "", f"- **Total Candidate Question Templates**: {candidates} candidates"), lines(1, benchmark.agg(F.count("*").alias("n")), [], F.concat(F.lit("- **Total Curated / Accepted Questions**: "), of("n"), F.lit(" questions")), "", "### Repository Distribution"),
