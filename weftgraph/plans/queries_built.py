@@ -37,7 +37,7 @@ def _sources(spark, d) -> DataFrame:
 
 
 def _parsed(spark, d) -> DataFrame:
-    return cut(parse.parse(_sources(spark, d)))
+    return parse.pieces(_sources(spark, d))
 
 
 _PLACES = f"""WITH cls AS (SELECT n_nationkey AS k, {_CLASS.format(k='n_nationkey')} AS name, 'app/nation' || n_nationkey || '.py' AS file, n_regionkey AS r FROM nation),
@@ -105,8 +105,7 @@ def _(spark, d):
 @query("parsed_files", f"""{_PLACES} SELECT cls.file AS file_path, array_to_string(list_sort(list_filter(['os', 'vendor.r' || r, CASE WHEN k > 0 THEN 'app.nation' || (k - 1) END], lambda x: x IS NOT NULL)), ',') AS imports, 1::BIGINT AS classes, (SELECT count(*) FROM met WHERE met.file = cls.file) AS methods, (SELECT count(*) FROM fun WHERE fun.file = cls.file) AS functions, false AS broken FROM cls
 UNION ALL SELECT 'app/broken' || r_regionkey || '.py', '', 0, 0, 0, true FROM region""")
 def _(spark, d):
-    methods = F.aggregate("classes", F.lit(0).cast("long"), lambda a, c: a + F.size(c["methods"]))
-    return _parsed(spark, d).select("file_path", F.array_join("imports", ",").alias("imports"), F.size("classes").cast("long").alias("classes"), methods.alias("methods"), F.size("functions").cast("long").alias("functions"), F.col("parse_error").isNotNull().alias("broken"))
+    return parse.by_file(_parsed(spark, d)).withColumn("imports", F.array_join("imports", ","))
 
 
 # -- blocks of text about nodes, counts, places

@@ -6,6 +6,8 @@ CLASS = f"struct<name: string, line_number: int, inherits_from: array<string>, d
 
 #: One row a file. ``parse_error`` is null where the file could be read.
 PARSED = f"file_path string, imports array<string>, classes array<{CLASS}>, functions array<{FUNCTION}>, parse_error string"
+#: One row a piece of a file, in file order. ``continued``: the only class has its head in an earlier piece. ``failed``: the piece is no sequence of statements.
+PIECES = f"{PARSED}, piece int, continued boolean, failed boolean"
 FILES = "path string, rel_path string, name string, size long, mtime double, depth int, is_dir boolean"
 SOURCES = "rel_path string, content binary"
 NODES = "id string, type string, label string, file_path string, line_number int, docstring string, module_origin string"
