@@ -29,7 +29,7 @@ def containing(keywords: DataFrame, texts: DataFrame) -> DataFrame:
     held = texts.select("id", "text", F.explode(F.array_distinct(F.concat(_grams(t), pairs, every))).alias("gram"))
     asked = keywords.select("keyword", F.explode(F.when(short, F.array("keyword")).otherwise(_grams(F.col("keyword")))).alias("gram"))
     often = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("often"))
-    rare = asked.join(often, "gram", "left").groupBy("keyword").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
+    rare = cut(asked.join(often, "gram", "left").groupBy("keyword").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram")))  # where keywords are few, the planner sees it, and texts stay where they are
     return held.join(rare, "gram").filter(F.col("text").contains(F.col("keyword"))).select("keyword", "id").distinct()
 
 

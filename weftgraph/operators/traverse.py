@@ -20,7 +20,7 @@ def reach(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int) -> Da
     Only the frontier is joined in each hop; visited ids leave by an anti-join.
     """
     ids = nodes.select("id")
-    both = edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("other")), F.struct(F.col("target").alias("id"), F.col("source").alias("other")))).alias("e")).select("e.*")
+    both = edges.select(F.col("source").alias("id"), F.col("target").alias("other")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("other")))
     seen = seeds.select("grp", "id").distinct().join(ids, "id", "left_semi").select("grp", "id", F.lit(0).alias("hop"))
     frontier = seen
     for hop in range(1, hops + 1):
@@ -54,17 +54,15 @@ def intent_reach(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, budgets:
         seeds = seeds.withColumn("limits", F.create_map(*[F.lit(x) for r in relationships for x in (r, budgets.get(r, default))]))
     started = cut(seeds.dropDuplicates(["grp", "id"]).join(nodes.select("id"), "id", "left_semi").select("grp", "id", "limits"))
     levels = started.agg(F.max(F.aggregate(F.map_values("limits"), F.lit(0), lambda a, x: a + x))).first()[0] or 0
-    e = F.explode(F.array(
-        F.struct(F.col("source").alias("id"), F.lit(0).alias("side"), F.col("target").alias("other")), F.struct(F.col("target").alias("id"), F.lit(1).alias("side"), F.col("source").alias("other")),
-    ))
-    both = edges.select(e.alias("e"), "relationship", place(0).alias("place")).select("e.*", "relationship", "place")
+    end = lambda id_, side, other: edges.select(F.col(id_).alias("id"), F.lit(side).alias("side"), F.col(other).alias("other"), "relationship", place(0).alias("place"))
+    both = end("source", 0, "target").unionByName(end("target", 1, "source"))  # each end meets the frontier before rows are made of it
     ids = nodes.select("id")
     used0 = F.create_map(*[F.lit(x) for r in relationships for x in (r, 0)])
     seen = started.select("grp", "id")
     frontier = started.withColumn("ord", F.struct("id")).withColumn("used", used0)  # places in the order of discovery are compared, never numbered
     burned: DataFrame | None = None
     for _ in range(levels):
-        steps = frontier.join(both, "id").withColumn("d", F.element_at("used", F.col("relationship"))).filter(F.col("d") < F.element_at("limits", F.col("relationship")))
+        steps = both.join(frontier, "id").withColumn("d", F.element_at("used", F.col("relationship"))).filter(F.col("d") < F.element_at("limits", F.col("relationship")))
         keys = ["grp", "id", "relationship", "d"]
         if burned is not None:
             steps = steps.join(burned, keys, "left_anti")

@@ -58,6 +58,12 @@ JOIN (SELECT c_custkey AS c, c_nationkey AS k, concat({_CLASS}, '.', {_METHOD})
 ) edge_rows
 """
 
+#: Who calls whom in EDGES, by keys: DISTINCT over the keys, which the names are one to one with.
+_CALLS = """SELECT DISTINCT c, s FROM (SELECT /*+ REPARTITION(o_custkey) */ o_custkey AS c, l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_CALL_EDGES = f"""SELECT concat({_CLASS}, '.', {_METHOD}) AS source, {_FUNCTION} AS target, 'calls' AS relationship, CAST(NULL AS STRING) AS decorator_name
+FROM ({_CALLS}) JOIN (SELECT DISTINCT c_custkey, c_nationkey FROM customer) ON c = c_custkey JOIN (SELECT DISTINCT n_nationkey FROM nation) ON c_nationkey = n_nationkey JOIN (SELECT DISTINCT s_suppkey FROM supplier) ON s = s_suppkey"""
+_BY_NAME = EDGES[EDGES.rindex("SELECT DISTINCT") : EDGES.rindex("UNION ALL")]
+
 #: Questions put to the ranker.
 QUESTIONS = """
 SELECT * FROM (VALUES
@@ -79,8 +85,9 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
 def graph(spark: SparkSession, sf_dir: str, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the adapter; ``keep`` writes them to the shared folder first, for operators that read them more than once."""
     tables(spark, sf_dir)
-    nodes, edges = spark.sql(NODES), spark.sql(EDGES)
-    return (cut(nodes), cut(edges)) if keep else (nodes, edges)
+    nodes, edges = spark.sql(NODES), spark.sql(EDGES.replace(_BY_NAME, _CALL_EDGES + "\n"))
+    spread = 4 * spark.sparkContext.defaultParallelism  # the nodes come from a few small files, one of them with nearly all
+    return (cut(nodes.repartition(spread, "id")), cut(edges)) if keep else (nodes, edges)
 
 
 def questions(spark: SparkSession) -> DataFrame:
